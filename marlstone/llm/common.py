@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +98,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(texts: list[str], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle, number of shingles of each text), repeats included. A text of
-    fewer words has one shingle of all of them, a text without words none."""
+    fewer words has one shingle of all of them, a text without words one of all it has."""
     h, n = word_hashes(texts)
+    bare = np.flatnonzero(n == 0)
+    if len(bare):
+        own = [xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "replace")) for i in bare.tolist()]
+        h, n = np.insert(h, (np.cumsum(n) - n)[bare], np.array(own, np.uint64)), np.maximum(n, 1)
     first = np.cumsum(n) - n
-    count = np.where(n >= words, n - words + 1, (n > 0).astype(n.dtype))
+    count = np.where(n >= words, n - words + 1, 1)
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     size = np.repeat(np.minimum(n, words), count)
     out = np.zeros(len(at), np.uint64)

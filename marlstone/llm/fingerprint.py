@@ -55,7 +55,10 @@ def fingerprints(texts: list[str], words: int = SHINGLE_WORDS) -> np.ndarray:
         at = np.repeat(np.arange(b - a), n) * BINS + (h >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
         np.minimum.at(flat, at, ((h >> _U(16)) & _U(0xFFFFFFFF)).astype(np.uint32))
         bins = flat.reshape(b - a, BINS)
-        out.append((densify(bins, bins != _FREE) & np.uint32((1 << BITS) - 1)).astype(np.uint8))
+        dense = densify(bins, bins != _FREE).astype(np.uint64)
+        with np.errstate(over="ignore"):  # low bits of different bins with one hash are independent
+            low = _mix(dense * _U(BINS) + np.arange(BINS, dtype=np.uint64)) & _U((1 << BITS) - 1)
+        out.append(low.astype(np.uint8))
     return np.concatenate(out)
 
 

@@ -1,0 +1,143 @@
+"""Archives: life cycle, segments, types, binaries, dictionary encoding and their errors."""
+
+from dataclasses import dataclass
+from typing import Annotated
+
+import pytest
+
+from marlstone.errors import Collision, Corrupt, NotFound, TypeMismatch
+from marlstone.sources import BOOL, CHAR, F64, STRING, Archive, Binary, Int, NonZero, Opt, Seq, schema_of
+from marlstone.streaming import follow
+
+
+@dataclass
+class Reading:
+    sensor: Annotated[int, Int("u32")]
+    temperature: float
+
+
+@pytest.fixture
+def archive(spark, tmp_path):
+    return Archive.new(spark, f"file://{tmp_path}/a")
+
+
+def values(archive, name, column):
+    return [r[0] for r in archive.query(name).select(column).collect()]
+
+
+def test_round_trip_over_segments(spark, archive):
+    stage = archive.schema("reading", Reading)
+    assert archive.write(stage) == 0 and archive.query("reading").collect() == []
+    assert archive.write(stage.extend([Reading(1, 21.5), Reading(2, 18.0)])) == 2
+    assert stage.is_empty() and stage.clone().count() == 0
+    assert archive.write(stage.push(Reading(3, 1.0))) == 1
+    again = Archive.open(spark, archive.path)
+    assert [tuple(r) for r in again.query("reading").collect()] == [(1, 21.5), (2, 18.0), (3, 1.0)]
+    assert again.count("reading") == again.query("reading").count() == 3
+    assert again.query("reading").nth(2).sensor == 3
+    assert again.query("reading").column("sensor", Int("u32")).name == "sensor"
+    with pytest.raises(TypeMismatch):
+        again.query("reading").column("sensor", Int("u16"))
+
+
+def test_schemas_live_side_by_side(archive):
+    north, flag = archive.schema("north", {"v": Int("i64")}), archive.schema("flag", {"active": BOOL, "sensor": Int("u32")})
+    archive.write(north.extend([{"v": 1}, {"v": 2}]))
+    archive.write(flag.push({"active": True, "sensor": 9}))
+    archive.write(north.push({"v": 3}))
+    assert archive.names() == ["flag", "north"] and values(archive, "north", "v") == [1, 2, 3]
+    assert [tuple(r) for r in archive.query("flag").collect()] == [(True, 9)]
+    archive.schema("north", {"v": Int("i64")})
+    with pytest.raises(Collision):
+        archive.schema("north", {"v": Int("i32")})
+    with pytest.raises(NotFound):
+        archive.query("south")
+    with pytest.raises(TypeMismatch):
+        north.push({"w": 1})
+
+
+def test_frames_keep_their_order(spark, archive):
+    archive.schema("t", {"v": Int("i64")})
+    df = spark.range(0, 1000, 1, 7).selectExpr("999 - id as v")
+    archive.write_frame("t", df, ["v"])
+    archive.write_frame("t", spark.range(1000, 1010).selectExpr("id as v"), ["v"])
+    assert values(archive, "t", "v") == list(range(1010))
+    assert [r.v for r in archive.query("t").skip(998).take(4).collect()] == [998, 999, 1000, 1001]
+
+
+@pytest.mark.parametrize(
+    ("kind", "good", "bad"),
+    [(Int("u8"), 255, 256), (Int("u16"), 0, -1), (Int("i8"), -128, None), (Int("u64"), 2**64 - 1, -1), (NonZero("u32"), 1, 0), (CHAR, "é", "ab"), (Opt(item=CHAR), None, "ab"), (Seq(item=Int("u8")), [1, 255], [256]), (F64, 1.5, None)],
+)
+def test_types(archive, kind, good, bad):
+    stage = archive.schema("t", {"v": kind})
+    archive.write(stage.push({"v": good}))
+    assert values(archive, "t", "v") == [good]
+    assert archive.columns("t") == {"v": kind}
+    with pytest.raises(Exception):
+        archive.write(stage.push({"v": bad}))
+    assert archive.count("t") == 1
+
+
+def test_records():
+    @dataclass
+    class Row:
+        a: int | None
+        b: list[str]
+
+    assert schema_of(Row) == {"a": Opt(item=Int("i64")), "b": Seq(item=STRING)}
+    with pytest.raises(TypeMismatch):
+        schema_of(int)
+    with pytest.raises(TypeMismatch):
+        Int("i7")
+
+
+def test_binaries(spark, archive):
+    assert archive.write(Binary("cal").push(b"format-").extend(b"agnostic")) == 15
+    assert Archive.open(spark, archive.path).binary("cal") == b"format-agnostic"
+    with pytest.raises(Collision):
+        archive.write(Binary("cal").push(b"x"))
+    assert archive.binary("cal") == b"format-agnostic"
+    with pytest.raises(NotFound):
+        archive.binary("other")
+
+
+def test_commits(spark, archive, tmp_path):
+    with pytest.raises(Collision):
+        Archive.new(spark, archive.path)
+    with pytest.raises(NotFound):
+        Archive.open(spark, f"file://{tmp_path}/none")
+    stale = Archive.open(spark, archive.path)
+    archive.schema("t", {"v": Int("i64")})
+    with pytest.raises(Collision):
+        stale.schema("u", {"v": Int("i64")})
+    archive.set_properties(owner="x")
+    assert Archive.open(spark, archive.path).properties() == {"owner": "x"}
+    archive.write(archive.schema("t", {"v": Int("i64")}).push({"v": 4}))
+    newest = max((tmp_path / "a" / "manifest").glob("*.json"))
+    newest.write_text(newest.read_text().replace("count", "coumt"))
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Corrupt):
+        Archive.open(spark, archive.path)
+    assert values(Archive.rebuild(spark, archive.path), "t", "v") == [4]
+
+
+def test_get_or_insert(spark, archive):
+    stage = archive.schema("words", {"w": STRING})
+    archive.write(stage.extend([{"w": x} for x in "abab"]))
+    request = spark.createDataFrame([(i, w) for i, w in enumerate("bzayz")], "pos long, w string")
+    found = {r.pos: r["index"] for r in archive.get_or_insert("words", request, "pos").collect()}
+    assert found == {0: 1, 1: 4, 2: 0, 3: 5, 4: 4}
+    assert values(archive, "words", "w") == list("ababzy")
+    archive.get_or_insert("words", request, "pos")
+    assert archive.count("words") == 6
+
+
+def test_follow(spark, archive):
+    archive.write(archive.schema("t", {"v": Int("i64")}).extend([{"v": 1}, {"v": 2}]))
+    q = follow(archive, "t").writeStream.format("memory").queryName("followed").start()
+    q.processAllAvailable()
+    archive.write(archive.schema("t", {"v": Int("i64")}).push({"v": 3}))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.v for r in spark.sql("select v from followed").collect()) == [1, 2, 3]

@@ -2,36 +2,42 @@
 
 Documents with one shingle set are one node. A node's MinHash coordinates stand for its tokens: a
 token is a coordinate with its value, and two sets share a sampled token with probability equal
-to their similarity. Each run samples on average 1 / threshold tokens of the root and puts every
-set into the bucket of its token; buckets above BUCKET_ROWS are split again on tokens sampled
-for their path, up to DEPTH times. What is small enough, or as deep, is compared by brute force:
-estimates from the coordinates first, then exact shingle sets. Runs are repeated until a pair at
-the threshold is found with the target recall.
+to their similarity. Each run samples a token of every set, which puts it into a bucket; a bucket
+above BUCKET_ROWS is split again on BRANCH tokens sampled for its path, up to DEPTH times, unless
+a child would keep over half of it: sets that alike are compared where they are. What is small,
+alike or deep enough is compared by brute force: estimates from the coordinates first, then exact
+shingle sets. Runs are repeated until a pair at the threshold is found with the target recall.
 
 Buckets with the same members are one bucket. A pair is counted in the first bucket that both
 its sets are in, so links are counted without a table of pairs; the connections within a bucket
-leave it as a tree. Buckets that stay large are compared in pairs of blocks of BLOCK_ROWS, so no
-task holds more than two blocks.
+leave it as a tree. Large buckets are compared in pairs of blocks of BLOCK_ROWS, so no task holds
+more than two blocks. The comparisons within a group of m different texts that are all alike
+still number m * m / 2, as its links do; only their rows stay few.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NEAR, SHINGLE_WORDS, drop_written, shingles, table, text_blocks, text_column, written
 from .tokenids import _U, _mix
 
 COORDINATES = 64
-BUCKET_ROWS = 256
+BUCKET_ROWS = 1024
+BRANCH = 4
 DEPTH = 3
-TARGET_RECALL = 0.999
-BLOCK_ROWS = 512
+TARGET_RECALL = 0.9999
+BLOCK_ROWS = 8192
+#: Rows of a side that are compared at once, and groups up to which pairs are listed by shifts.
+SIDE_ROWS = 1024
+SMALL_GROUP = 48
 #: Pairs whose coordinates agree less are not compared exactly: six deviations below the threshold.
 ESTIMATE = 0.5
 #: Document ids up to which a side is broadcast.
@@ -40,12 +46,11 @@ _ODD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD
 _ADD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is missed with probability 1 - recall at most. A
-    run follows Poisson(1) tokens that the pair shares at each of ``depth`` levels."""
-    found = 1.0
-    for _ in range(depth):
-        found = 1 - math.exp(-found)
+def runs_for(recall: float, threshold: float = NEAR) -> int:
+    """Runs after which a pair at the threshold is missed with probability 1 - recall at most,
+    wherever buckets are split: a run keeps the pair if it shares the root's token and at each
+    deeper level one of BRANCH tokens."""
+    found = threshold * (1 - (1 - threshold) ** BRANCH) ** (DEPTH - 1)
     return math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
@@ -99,37 +104,49 @@ def _sets(with_shingles: bool, words: int):
     return run
 
 
-def leaf_buckets(nodes: DataFrame, runs: int, threshold: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def leaf_buckets(nodes: DataFrame, runs: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(set_id, col, bucket, size): the buckets that are compared by brute force. col numbers the
     path of coordinates, so that sets share a bucket of a col or none."""
-    picks = min(COORDINATES, math.ceil(runs / threshold))
-    level = nodes.select("set_id", "sig", F.posexplode(F.slice("sig", 1, picks)).alias("col", "_v")).withColumn("bucket", F.xxhash64("col", "_v")).drop("_v")
-    base, width, leaves = 0, picks, []
-    deeper = math.ceil(1 / threshold)
-    for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("col", "bucket").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(set_id))").alias("_x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("_y")).where("size > 1")
-        sizes = written(sizes, "buckets")
-        last = depth == DEPTH
-        leaf = sizes if last else sizes.where(F.col("size") <= bucket_rows)
-        leaves.append((level, leaf, base))
-        if last or not sizes.where(F.col("size") > bucket_rows).limit(1).count():
+    key = ["col", "bucket"]
+    level = nodes.select("set_id", F.posexplode(F.slice("sig", 1, runs)).alias("col", "_v")).select("set_id", "col", F.xxhash64("col", "_v").alias("bucket"))
+
+    def sized(rows: DataFrame, *more: str) -> DataFrame:
+        members = (F.expr("bit_xor(xxhash64(set_id))").alias("_x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("_y"))
+        return written(rows.groupBy(*key, *more).agg(F.count("*").alias("size"), *members).where("size > 1"), "buckets")
+
+    sizes, levels, leaves = sized(level), [level], []
+    base, width = 0, runs
+    for depth in range(2, DEPTH + 1):
+        big = sizes.where(F.col("size") > bucket_rows)
+        leaves.append(sizes.where(F.col("size") <= bucket_rows))
+        if not big.limit(1).count():
             break
-        big = level.join(sizes.where(F.col("size") > bucket_rows).select("col", "bucket"), ["col", "bucket"])
-        nth = F.explode(F.array(*map(F.lit, range(deeper))))
-        big = big.withColumn("_j", nth).withColumn("_own", (F.col("col") - base) * deeper + F.col("_j"))
-        coordinate = F.pmod(F.col("col") + 1 + picks + F.col("_own") * 7 + depth * 13, F.lit(COORDINATES)) + 1
-        big = big.withColumn("bucket", F.xxhash64("bucket", coordinate, F.element_at("sig", coordinate.cast("int"))))
-        base, width = base + width, width * deeper
-        level = written(big.select("set_id", "sig", (F.col("_own") + base).cast("int").alias("col"), "bucket"), "level")
-    every = None
-    for _, leaf, _ in leaves:
-        every = leaf if every is None else every.unionByName(leaf)
+        parents = level.join(big.select(*key), key).join(nodes.select("set_id", "sig"), "set_id")
+        own = (F.col("col") - base) * BRANCH + F.col("_j")
+        coordinate = (F.pmod(runs + own + (depth - 2) * 29, F.lit(COORDINATES)) + 1).cast("int")
+        children = parents.withColumn("_j", F.explode(F.array(*map(F.lit, range(BRANCH)))))
+        children = children.select("set_id", F.col("col").alias("_col"), F.col("bucket").alias("_bucket"), (own + base + width).cast("int").alias("col"), F.xxhash64("bucket", coordinate, F.element_at("sig", coordinate)).alias("bucket"))
+        children = written(children, "level")
+        found = sized(children, "_col", "_bucket")
+        alike = found.groupBy("_col", "_bucket").agg(F.max("size").alias("_most")).withColumnsRenamed({"_col": "col", "_bucket": "bucket"})
+        alike = big.join(alike, key).where(F.col("_most") * 2 > F.col("size")).select(*big.columns)
+        alike = written(alike, "alike")
+        leaves.append(alike)
+        sizes = found.join(alike.select(F.col("col").alias("_col"), F.col("bucket").alias("_bucket")), ["_col", "_bucket"], "left_anti").select(*big.columns)
+        level = children.select("set_id", *key)
+        levels.append(level)
+        base, width = base + width, width * BRANCH
+    else:
+        leaves.append(sizes)
+    every = leaves[0]
+    for leaf in leaves[1:]:
+        every = every.unionByName(leaf)
     # of buckets with the same members the first stays
-    kept = every.groupBy("size", "_x", "_y").agg(F.min(F.struct("col", "bucket")).alias("_b")).select("size", "_b.*")
+    kept = every.groupBy("size", "_x", "_y").agg(F.min(F.struct(*key)).alias("_b")).select("size", "_b.*")
     kept = written(kept, "kept")
     out = None
-    for level, _, _ in leaves:
-        part = level.select("set_id", "col", "bucket").join(kept, ["col", "bucket"])
+    for level in levels:
+        part = level.join(kept, key).select("set_id", *key, "size")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -166,24 +183,27 @@ def _numpy_lists(column, kind) -> tuple[np.ndarray, np.ndarray]:
     return a.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), np.diff(a.offsets.to_numpy())
 
 
-def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of the groups that are alike by estimate, counted here first and not
-    within a block that another group compares."""
+def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the groups that are alike by estimate, counted here first and not within a
+    block that another group compares: all pairs of small groups together, those of a large group
+    side by side."""
     n = t.num_rows
-    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    sizes = np.diff(starts)
+    group = np.repeat(np.arange(len(sizes)), sizes)
     sig = _numpy_lists(t.column("sig"), np.int32)[0].reshape(n, COORDINATES)
-    cols, sizes = _numpy_lists(t.column("leaf_cols"), np.int32)
+    cols, lengths = _numpy_lists(t.column("leaf_cols"), np.int32)
     buckets, _ = _numpy_lists(t.column("leaf_buckets"), np.int64)
-    own = t.column("col").to_numpy()
-    width = int(cols.max()) + 1 if len(cols) else 1
-    in_bucket, has = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
-    at = np.repeat(np.arange(n), sizes)
-    in_bucket[at, cols], has[at, cols] = buckets, True
+    used, number = np.unique(cols, return_inverse=True)
+    # a row's bucket of each col; where it has none a number that no other row has there
+    place = np.repeat(-np.arange(1, n + 1, dtype=np.int64)[:, None], max(1, len(used)), axis=1)
+    place[np.repeat(np.arange(n), lengths), number] = buckets
+    own = np.searchsorted(used, t.column("col").to_numpy())
     across = t.column("bi").to_numpy() != t.column("bj").to_numpy()
     block = t.column("block").to_numpy()
-    left, right = [], []
-    for shift in range(1, int(np.diff(starts).max())):
-        i = np.flatnonzero(group[shift:] == group[:-shift])
+    small = sizes[group] <= SMALL_GROUP
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shift in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
+        i = np.flatnonzero((group[shift:] == group[:-shift]) & small[:-shift])
         j = i + shift
         keep = ~across[i] | (block[i] != block[j])
         i, j = i[keep], j[keep]
@@ -191,12 +211,32 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> tuple[np.nda
             x, y = i[a : a + 4096], j[a : a + 4096]
             near = (sig[x] == sig[y]).mean(axis=1) >= estimate
             x, y = x[near], y[near]
-            common = has[x] & has[y] & (in_bucket[x] == in_bucket[y])
-            first = common.argmax(axis=1) == own[x]
+            first = (place[x] == place[y]).argmax(axis=1) == own[x]
             left.append(x[first])
             right.append(y[first])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    if sum(map(len, left)):
+        yield np.concatenate(left), np.concatenate(right)
+    for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
+        rows = np.arange(starts[g], starts[g + 1])
+        col = own[rows[0]]
+        rows = rows[np.lexsort([place[rows, c] for c in range(col, -1, -1)] + [block[rows]])]
+        sides = [rows[a : a + SIDE_ROWS] for k in np.unique(block[rows]) for own_block in [rows[block[rows] == k]] for a in range(0, len(own_block), SIDE_ROWS)]
+        for p, x in enumerate(sides):
+            for q in range(p, len(sides)):
+                y = sides[q]
+                if across[x[0]] and block[x[0]] == block[y[0]]:
+                    continue
+                open_ = np.ones((len(x), len(y)), bool) if p != q else np.triu(np.ones((len(x), len(x)), bool), 1)
+                for c in range(col):
+                    open_ &= place[x, c][:, None] != place[y, c][None, :]
+                if not open_.any():
+                    continue
+                alike = np.zeros((len(x), len(y)), np.uint8)
+                for k in range(COORDINATES):
+                    alike += sig[x, k][:, None] == sig[y, k][None, :]
+                i, j = np.nonzero(open_ & (alike >= estimate * COORDINATES))
+                if len(i):
+                    yield x[i], y[j]
 
 
 def _needed(estimate: float):
@@ -204,46 +244,49 @@ def _needed(estimate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches):
-            i, j = candidates(t, starts, estimate)
-            rows = np.unique(np.concatenate([i, j]))
-            if len(rows):
-                yield from t.select(["bucket", "bi", "bj", "set_id"]).take(pa.array(rows)).combine_chunks().to_batches()
+            some = np.zeros(t.num_rows, bool)
+            for i, j in candidates(t, starts, estimate):
+                some[i] = some[j] = True
+            if some.any():
+                yield from t.select(["bucket", "bi", "bj", "set_id"]).filter(pa.array(some)).combine_chunks().to_batches()
 
     return run
 
 
-def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Common elements of the pairs of sorted distinct sets."""
-    if len(sets) <= 8 or len(i) < len(sets):
-        return np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())), np.int64, len(i))
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
+def intersections(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common elements of a[i] and b[j], sorted distinct sets."""
+    if len(i) < 4 * (len(a) + len(b)):
+        return np.fromiter((len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())), np.int64, len(i))
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), np.fromiter(map(len, [*a, *b]), np.int64, len(a) + len(b)))
+    _, number = np.unique(flat, return_inverse=True)
+    here, there = np.zeros(number.max() + 1, bool), np.zeros(number.max() + 1, bool)
+    here[number[row < len(a)]], there[number[row >= len(a)]] = True, True
+    shared = here & there
     column = (np.cumsum(shared) - 1)[number]
-    row, column = row[shared[number]], column[shared[number]]
+    keep = shared[number]
+    row, column = row[keep], column[keep]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for a in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(column, [a, a + 4096])
-        dense = np.zeros((len(sets), 4096), np.float32)
-        dense[row[lo:hi], column[lo:hi] - a] = 1
-        total += dense @ dense.T
+    total = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, [at, at + 2048])
+        dense = np.zeros((len(a) + len(b), 2048), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        total += dense[: len(a)] @ dense[len(a) :].T
     return total[i, j].astype(np.int64)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row connected to each row."""
-    label = np.arange(n)
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Takes links into a forest that gives each row the least row connected to it."""
     while True:
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        if (label == before).all():
-            return label
+        x, y = label[i], label[j]
+        if (x == y).all():
+            return
+        least = np.minimum(x, y)
+        np.minimum.at(label, np.maximum(x, y), least)
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def _verified(estimate: float, threshold: float):
@@ -252,33 +295,29 @@ def _verified(estimate: float, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches):
-            i, j = candidates(t, starts, estimate)
-            if not len(i):
-                continue
-            raw = t.column("shingles")
-            weight = t.column("weight").to_numpy()
-            group = np.searchsorted(starts, i, side="right") - 1
-            order = np.argsort(group, kind="stable")
-            i, j, group = i[order], j[order], group[order]
-            ok = np.zeros(len(i), bool)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
-                rows = np.unique(np.concatenate([i[a:b], j[a:b]]))
-                sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in rows.tolist()]
-                size = np.fromiter(map(len, sets), np.int64, len(sets))
-                x, y = np.searchsorted(rows, i[a:b]), np.searchsorted(rows, j[a:b])
-                both = intersections(sets, x, y)
-                ok[a:b] = both >= threshold * (size[x] + size[y] - both) - 1e-9
-            i, j = i[ok], j[ok]
-            links = np.zeros(t.num_rows, np.int64)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            root = _roots(t.num_rows, i, j)
-            rows = np.unique(np.concatenate([i, j]))
+            raw, weight = t.column("shingles"), t.column("weight").to_numpy()
+            links, label = np.zeros(t.num_rows, np.int64), np.arange(t.num_rows)
+            read = lambda rows: [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in rows.tolist()]
+            size = np.fromiter((x // 8 for x in pc.binary_length(raw).to_pylist()), np.int64, t.num_rows)
+            for i, j in candidates(t, starts, estimate):
+                group = np.searchsorted(starts, i, side="right") - 1
+                order = np.argsort(group, kind="stable")
+                i, j, group = i[order], j[order], group[order]
+                both = np.zeros(len(i), np.int64)
+                cuts = np.flatnonzero(np.diff(group, prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
+                    x, y = np.unique(i[a:b]), np.unique(j[a:b])
+                    both[a:b] = intersections(read(x), read(y), np.searchsorted(x, i[a:b]), np.searchsorted(y, j[a:b]))
+                ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+                i, j = i[ok], j[ok]
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                _join(label, i, j)
+            rows = np.flatnonzero(links)
             if len(rows):
                 ids = t.column("set_id").combine_chunks()
                 ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(links[rows]), ids.take(pa.array(root[rows]))], ["set_id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(links[rows]), ids.take(pa.array(label[rows]))], ["set_id", "links", "root"])
 
     return run
 
@@ -320,7 +359,7 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     found = written(rows.mapInArrow(_sets(False, words), "doc_id long, set_id binary, sig array<int>"), "sets")
     nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "nodes")
-    members = written(leaf_buckets(nodes, runs_for(recall), threshold, bucket_rows), "members")
+    members = written(leaf_buckets(nodes, runs_for(recall, threshold), bucket_rows), "members")
     lists = members.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("col", "bucket"))).alias("_l"))
     lists = lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets"))
     # a bucket of more than block_rows is compared in pairs of blocks

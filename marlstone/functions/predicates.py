@@ -60,7 +60,8 @@ def _c(name: str) -> Column:
 
 def _equal(c: Column, value: Any) -> Column:
     if isinstance(value, float) and value == 0:
-        return (c == value) & (c.cast("string") == F.lit(value).cast("string"))
+        # no plain equality: the optimizer would put the literal in the place of c everywhere
+        return (c >= 0.0) & (c <= 0.0) & (c.cast("string") == F.lit(value).cast("string"))
     return c == F.lit(value)
 
 

@@ -55,8 +55,14 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows in an Arrow batch of texts, which bounds what a Python worker holds at once.
+BATCH_ROWS = 1000
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
-    """The text, with null as empty."""
+    """The text, with null as empty. Keeps the session's Arrow batches at BATCH_ROWS rows."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 

@@ -220,7 +220,7 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
         rows = np.arange(starts[g], starts[g + 1])
         col = own[rows[0]]
         rows = rows[np.lexsort([place[rows, c] for c in range(col, -1, -1)] + [block[rows]])]
-        sides = [rows[a : a + SIDE_ROWS] for k in np.unique(block[rows]) for own_block in [rows[block[rows] == k]] for a in range(0, len(own_block), SIDE_ROWS)]
+        sides = [own_block[a : a + SIDE_ROWS] for k in np.unique(block[rows]) for own_block in [rows[block[rows] == k]] for a in range(0, len(own_block), SIDE_ROWS)]
         for p, x in enumerate(sides):
             for q in range(p, len(sides)):
                 y = sides[q]

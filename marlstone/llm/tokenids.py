@@ -24,7 +24,7 @@ _LETTER, _DIGIT, _SYMBOL, _SPACE, _END = 1, 2, 3, 4, 5
 #: Characters numbered at once; also the length of the power tables.
 BLOCK_CHARS = 1 << 19
 #: Distinct pieces kept; beyond it the cache starts again empty.
-MAX_PIECES = 1_500_000
+MAX_PIECES = 1_000_000
 
 
 def _classes() -> np.ndarray:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, text_column, written
 
 LEAST_CHARS = 10
+#: Line rows that leave a Python worker at once.
+LINE_ROWS = 1 << 15
 #: Stripped at both ends of a line before comparing.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -33,9 +35,14 @@ def line_key(line: bytes) -> bytes:
 
 
 def _line_rows(least_chars: int):
+    kinds = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "row_hash": pa.int64(), "places": pa.list_(pa.int32())}
+
+    def packed(cols: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in kinds.items()], [*kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: dict[str, list] = {k: [] for k in kinds}
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 places: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.encode("utf-8").split(b"\n")):
@@ -43,10 +50,12 @@ def _line_rows(least_chars: int):
                     if len(key) >= least_chars and (len(key) >= 4 * least_chars or len(key.decode("utf-8")) >= least_chars):
                         places.setdefault(xxhash.xxh3_128_digest(key), []).append(i)
                 for key, at in places.items():
-                    for to, x in zip(cols, (int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, row, at)):
-                        to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h1", "h2", "doc_id", "row_hash", "places"])
+                    for k, x in zip(kinds, (int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, row, at)):
+                        cols[k].append(x)
+                if len(cols["h1"]) >= LINE_ROWS:
+                    yield packed(cols)
+                    cols = {k: [] for k in kinds}
+            yield packed(cols)
 
     return run
 

@@ -86,9 +86,9 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.select(*LEAF, "have", "budget", epochs.alias("epochs")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
 
 
-def _order(mix: Mix) -> Column:
+def _order(mix: Mix, epochs: str = "epochs") -> Column:
     """A document's place in the seeded order of its leaf's last epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(epochs).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
 def _sized(leaves: DataFrame) -> DataFrame:
@@ -127,10 +127,11 @@ def leaf_cuts(counted: DataFrame, mix: Mix) -> DataFrame:
 
 def take(rows: DataFrame, cuts: DataFrame, mix: Mix) -> DataFrame:
     """Rows (LEAF columns and doc_id) that the mix takes, once for each epoch, with mix_epoch."""
-    joined = rows.join(_sized(cuts.select(*LEAF, "epochs", "cut")), LEAF)
-    copies = F.col("epochs") + F.when(F.col("cut").isNotNull() & (_order(mix) <= F.col("cut")), 1).otherwise(0)
-    joined = joined.withColumn("_copies", copies).where(F.col("_copies") > 0)
-    return joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*rows.columns, F.col("mix_epoch").cast("int").alias("mix_epoch"))
+    cuts = cuts.select(*LEAF, F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"))
+    joined = rows.join(_sized(cuts), LEAF)
+    copies = F.col("_mix_epochs") + F.when(F.col("_mix_cut").isNotNull() & (_order(mix, "_mix_epochs") <= F.col("_mix_cut")), 1).otherwise(0)
+    joined = joined.withColumn("_mix_copies", copies).where(F.col("_mix_copies") > 0)
+    return joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1))).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("mix_epoch").cast("int").alias("mix_epoch"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:

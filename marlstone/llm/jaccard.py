@@ -99,7 +99,7 @@ def _sets(with_shingles: bool, words: int):
                 else:
                     flat = coordinates(sets)
                     sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(flat.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids, sig], ["doc_id", "set_id", "sig"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in (0, 2)), ids, sig], ["doc_id", "row_hash", "set_id", "sig"])
 
     return run
 
@@ -322,6 +322,11 @@ def _verified(estimate: float, threshold: float):
     return run
 
 
+def _place() -> F.Column:
+    """Where a row stands in its class."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of the component of each node of edges (a, b), by rounds of
     large and small stars. Every round is written; nothing but a count comes to the driver."""
@@ -345,20 +350,13 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row of docs.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at
-    least ``threshold``; n_links counts the other rows that a row is linked to, copies included.
-    class_id is the least doc_id of the connected component of these links, so copies share it
-    with all they are linked to. A text of fewer words is one shingle, a text without words the
-    shingle of all its characters; null text counts as empty. A row with a null doc_id has the
-    class of its links, null if it has none. An empty table gives no rows; other columns are not
-    read.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    found = written(rows.mapInArrow(_sets(False, words), "doc_id long, set_id binary, sig array<int>"), "sets")
-    nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "nodes")
+def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucket_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row_hash, set_id) of each row; (set_id, class_id, first, n_links) of each set that
+    several rows have or that is linked). row_hash is xxhash64 of the text; first is the least row
+    of the class, null doc_ids last."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("row_hash"))
+    found = written(rows.mapInArrow(_sets(False, words), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
+    nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min(_place()).alias("first"), F.min("sig").alias("sig")), "nodes")
     members = written(leaf_buckets(nodes, runs_for(recall, threshold), bucket_rows), "members")
     lists = members.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("col", "bucket"))).alias("_l"))
     lists = lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets"))
@@ -380,19 +378,41 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     links = written(compared.mapInArrow(_verified(ESTIMATE, threshold), "set_id binary, links long, root binary"), "links")
     labels = connected(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
-    classes = nodes.select("set_id", "weight", F.col("doc_id").alias("_least")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
+    classes = nodes.select("set_id", "weight", F.col("doc_id").alias("_least"), "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
     classes = classes.where("weight > 1 or label is not null").withColumn("label", F.coalesce("label", "set_id"))
-    least = classes.groupBy("label").agg(F.min("_least").alias("class_id"))
-    classes = classes.join(least, "label").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = found.select("doc_id", "set_id").join(classes, "set_id", "left")
+    least = classes.groupBy("label").agg(F.min("_least").alias("class_id"), F.min("first").alias("first"))
+    classes = classes.drop("first").join(least, "label").select("set_id", "class_id", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return found.select("doc_id", "row_hash", "set_id"), classes
+
+
+def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row of docs.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at
+    least ``threshold``; n_links counts the other rows that a row is linked to, copies included.
+    class_id is the least doc_id of the connected component of these links, so copies share it
+    with all they are linked to. A text of fewer words is one shingle, a text without words the
+    shingle of all its characters; null text counts as empty. A row with a null doc_id has the
+    class of its links, null if it has none. An empty table gives no rows; other columns are not
+    read.
+    """
+    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows)
+    out = found.join(classes, "set_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: of the least doc_id, and of rows that repeat a doc_id one.
-    Rows with a null doc_id stay if they are in no class with another."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+def keep_one_of_each(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with one row of each class, that of the least doc_id (null last, ties by hash of the
+    text), and every row that is in no class with another. A row is told by doc_id and text: rows
+    that share a doc_id, or have none, stay if their texts are not alike, and repeated rows count
+    once."""
+    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows)
+    rows = found.join(classes.select("set_id", "first"), "set_id", "left").where(F.col("first").isNull() | (F.col("first") == _place()))
+    key = lambda doc, text: {"_kept_null": doc.isNull(), "_kept_doc": F.coalesce(doc, F.lit(0)), "_kept_text": text}
+    names = [*key(F.lit(0), F.lit(0))]
+    kept = rows.withColumns(key(F.col("doc_id"), F.col("row_hash"))).select(*names).distinct()
+    keyed = docs.withColumns(key(F.col("doc_id").cast("long"), F.xxhash64(text_column(docs))))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,12 @@ def test_near_duplicates_keep_one(spark, docs, none):
     assert jaccard.near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_keep_unlike_rows_of_one_id(spark):
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (3, "q w e r t y u i"), (3, "other words stand in this row"), (4, "q w e r t y u i"), (3, "q w e r t y u i"), (None, "q w e r t y u i"), (None, "both rows without an id"), (None, "both rows without an id"), (5, None), (6, "")]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, first string"))
+    assert sorted([r[:2] for r in kept.collect()], key=key) == sorted([rows[0], rows[1], rows[2], rows[3], rows[7], rows[9]], key=key)
+
+
 def test_large_groups_are_compared_in_sides(monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL_GROUP", 3)
     monkeypatch.setattr(jaccard, "SIDE_ROWS", 4)
@@ -390,10 +396,10 @@ def test_license_rules_in_order(spark):
 
 def test_mixing(spark, docs, none):
     rows = [r[:4] for r in ROWS if r[0] is not None]
-    small = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'x' as mix_lang", "7 as MIX_EPOCH")
+    small = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'x' as mix_lang", "7 as MIX_EPOCH", "1 as epochs", "'x' as cut", "2 as rest")
     for mix in (mixing.PRODUCTION, mixing.Mix(share=(3, 1), most_epochs=2), mixing.Mix(sources={"src0": 0, "src1": 5}, share=(1, 3), most_epochs=3)):
         got = mixing.mix_documents(small, mix)
-        assert got.columns == ["doc_id", "text", "lang", "source", "mix_domain", "mix_lang", "mix_source", "mix_epoch"]
+        assert got.columns == ["doc_id", "text", "lang", "source", "epochs", "cut", "rest", "mix_domain", "mix_lang", "mix_source", "mix_epoch"]
         found = sorted(map(tuple, got.select("doc_id", "mix_lang", "mix_source", "mix_epoch").collect()), key=key)
         if not mix.sources:
             assert found == oracle(mixing._oracle(mix), rows, "doc_id, mix_lang, mix_source, mix_epoch")

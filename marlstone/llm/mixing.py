@@ -74,10 +74,10 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds budget, epochs (whole ones) and rest to leaves (LEAF columns, have: their tokens)."""
     d, lang, source = LEAF
     leaves = leaves.withColumn("most", (F.col("have") * mix.most_epochs).cast("long"))
-    top = leaves.agg(F.sum("have").alias("_all")).select(F.expr(f"cast(_all as decimal(20,0)) * {mix.share[0]} div {mix.share[1]}").cast("long").alias("given"))
-    # one row
-    domains = leaves.groupBy(d).agg(F.sum("most").alias("most")).withColumn("weight", _weight(d, mix.domains)).join(F.broadcast(top))
-    domains = _share(domains.withColumn("_root", F.lit(0)), ["_root"], d).select(d, F.col("budget").alias("given"))
+    domains = leaves.groupBy(d).agg(F.sum("most").alias("most"), F.sum("have").alias("_have")).withColumn("weight", _weight(d, mix.domains)).withColumn("_root", F.lit(0))
+    domains = domains.withColumn("_all", F.sum("_have").over(Window.partitionBy("_root")))  # a row for each domain
+    domains = domains.withColumn("given", F.expr(f"cast(_all as decimal(20,0)) * {mix.share[0]} div {mix.share[1]}").cast("long"))
+    domains = _share(domains, ["_root"], d).select(d, F.col("budget").alias("given"))
     langs = leaves.groupBy(d, lang).agg(F.sum("most").alias("most")).withColumn("weight", _weight(lang, mix.languages)).join(domains, d)
     langs = _share(langs, [d], lang).select(d, lang, F.col("budget").alias("given"))
     leaves = leaves.withColumn("weight", _weight(source, mix.sources)).join(langs, [d, lang])

@@ -24,6 +24,8 @@ DIMENSIONS = 16
 ORDERS = 4
 #: Labelled rows of each language that are fitted, taken by the hash of their doc_id.
 ROWS_PER_LANGUAGE = 400
+#: Times as many doc_ids as are fitted are ranked.
+SPREAD = 4
 EPOCHS = 8
 RATE = 0.2
 #: No text with a higher score is ever rejected.
@@ -143,6 +145,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def least_hashed(known: DataFrame, rows_per_language: int) -> DataFrame:
+    """(lang, doc_id, _r) of the doc_ids of least hash of each language, ranked from 1.
+
+    Hashes above SPREAD times the share that is looked for are put aside before ranking, by the
+    distinct doc_ids that a sketch counts, so that a language's rows are not ranked in one task.
+    """
+    ids = known.select("doc_id", "lang")
+    counted = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids"))  # a row for each language
+    near = ids.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(counted), "lang")
+    near = near.where((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_ids") <= SPREAD * rows_per_language).select("doc_id", "lang", "_h").distinct()
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
+    return ranked.where(F.col("_r") <= rows_per_language).select("lang", "doc_id", "_r")
+
+
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learns from text and non-null lang of rows that are not held out.
 
@@ -151,8 +167,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Langua
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_column(docs).alias("text"))
-    picked = known.select("doc_id", "lang").distinct().withColumn("_h", F.xxhash64("doc_id"))
-    picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= rows_per_language)
+    picked = least_hashed(known, rows_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +182,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Langua
             yield pa.RecordBatch.from_arrays(columns, ["lang", "rank", "buckets", "counts"])
 
     # at most rows_per_language ids of each language: a bounded side
-    sample = known.join(F.broadcast(picked.select("doc_id", "lang", "_r")), ["doc_id", "lang"]).select("lang", "_r", "text")
+    sample = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "_r", "text")
     rows = sample.mapInArrow(count, "lang string, rank int, buckets array<int>, counts array<int>").toPandas()
     rows = rows.sort_values(["lang", "rank"], kind="stable")
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, np.float64), r % 5 == 0) for a, r, b, c in zip(rows["lang"], rows["rank"], rows["buckets"], rows["counts"])])

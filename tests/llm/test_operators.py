@@ -168,6 +168,15 @@ def test_language(spark, docs, none):
     assert {r.doc_id % 5 for r in known.where(language.held_out(F.col("doc_id"))).collect() if zlib.crc32(str(r.doc_id).encode()) % 5} == set()
 
 
+def test_least_hashed_ids(spark):
+    known = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3990, "en").otherwise("de").alias("lang"))
+    known = known.unionByName(known.where("doc_id < 900")).unionByName(known.where("doc_id < 900"))
+    every = [(r.lang, r.doc_id, r.h) for r in known.distinct().select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()]
+    want = [(lang, d, i) for lang in ("en", "de") for i, (_, d) in enumerate(sorted((h, d) for x, d, h in every if x == lang)[:50], 1)]
+    found = [tuple(r) for r in language.least_hashed(known, 50).collect()]
+    assert sorted(found) == sorted(want) and len(found) == 60
+
+
 # -- near duplicates
 
 

@@ -4,10 +4,15 @@ A text is cut into sentences, each is normalised and looked up in a table of kno
 sentences; the identifiers found, in order, are matched against ordered rules. A rule is a
 sequence of identifiers that stand one behind the other among the recognised ones; a match takes
 its identifiers away from later rules. All of it is column expressions: a scan needs no shuffle.
+
+SENTENCES are notices of one line, RULES their rules; the SQL has these two only, so it does not
+tell the standard texts. STANDARD_TEXTS are the full sentences of these, which run over lines.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,32 @@ SPLIT = r"([.;:!?])[ \t\r\f]+"
 DROP = r'[^a-z0-9."-]+'
 ENDS = r'^[ ."-]+|[ ."-]+$'
 
+_APACHE = ("Apache License Version 2.0, January 2004", 'Licensed under the Apache License, Version 2.0 (the "License")', "licenses this file to you under the Apache License, Version 2.0 (the \"License\")", 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")', 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License")')
+_IN_COMPLIANCE = "you may not use this file except in compliance with the License"
+_COPY_AT = "You may obtain a copy of the License at"
+_URLS = ("http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0")
+_UNLESS = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+_GPL = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version."
+#: Full sentences of the standard texts -> identifiers, parted by blanks.
+STANDARD_TEXTS = (
+    {x: "apache-2.0" for x in _APACHE}
+    | {x: "apache-2.0-url" for x in _URLS}
+    | {f"{_COPY_AT} {x}{more}": "copy-at apache-2.0-url" for x in _URLS for more in ("", f" {_UNLESS}")}
+    | {f"{x} {_UNLESS}": "apache-2.0-url" for x in _URLS}
+    | {f"{_GPL}, {_LATER.format(n)}": f"gpl-terms version-{n}-later" for n in (2, 3)}
+    | {
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "mit-grant",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd-grant",
+    }
+)
+#: Before RULES: the line that the copyright note of these texts may end with is not a licence.
+TEXT_RULES = (("MIT", ("all-rights", "mit-grant")), ("BSD", ("all-rights", "bsd-grant")))
+#: A sentence's end gets an empty line, which no sentence runs over; WRAP is a single line feed.
+STOP = r"([.;:!?])(?:[ \t\r\f]+|(?=\n))"
+DROP_IN_LINES = r'[^a-z0-9."\n-]+'
+WRAP = r"[ -]*\n[ -]*"
+
 
 def normalised(sentence: Column) -> Column:
     """Lower case; runs of other characters than a-z, 0-9 and . " - are one blank; none of
@@ -65,22 +96,36 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(sentence), DROP, " "), ENDS, "")
 
 
+def normalised_text(sentence: str) -> str:
+    """:func:`normalised` of a text at hand."""
+    return re.sub(ENDS, "", re.sub(DROP, " ", sentence.lower()))
+
+
 def _token(name: str) -> str:
     return f"<{name}>"
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+ALL_SENTENCES = SENTENCES | {normalised_text(k): v for k, v in STANDARD_TEXTS.items()}
+ALL_RULES = TEXT_RULES + RULES
+
+
+def scan(docs: DataFrame, sentences: dict[str, str] = ALL_SENTENCES, rules=ALL_RULES) -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_unmatched) of each row of docs.
 
     sentence_ids: the identifiers recognised in the text, in order, each in angle brackets;
     licenses: the licences of the rules that match, in rule order, joined by commas, each once;
-    n_unmatched: identifiers that no rule took. A sentence ends at . ; : ! or ? before a blank and
-    at a line feed. Null and empty texts have none; doc_id may be null or repeated; an empty table
-    gives no rows; other columns are not read.
+    n_unmatched: identifiers that no rule took. A sentence begins and ends at a line feed or at
+    . ; : ! or ? before a blank, and may run over single line feeds (with marks of comments about
+    them); of sentences with the same begin the longest known one counts. Null and empty texts
+    have none; doc_id may be null or repeated; an empty table gives no rows; other columns are not
+    read.
     """
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (k, _token(v))])
-    parts = F.split(F.regexp_replace(text_column(docs), SPLIT, "$1\n"), "\n")
-    found = F.filter(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (k, "".join(map(_token, v.split())))])
+    keys = "|".join(re.escape(k).replace(r"\ ", f"(?: |{WRAP})") for k in sorted(sentences, key=len, reverse=True))
+    lines = F.regexp_replace(F.lower(F.regexp_replace(text_column(docs), STOP, "$1\n\n")), DROP_IN_LINES, " ")
+    lines = F.concat(F.lit("\n"), lines, F.lit("\n"))
+    parts = F.regexp_extract_all(lines, F.lit(rf'(?<=\n)[ ."-]*+({keys})(?=[ ."-]*+\n)'), F.lit(1))
+    found = F.transform(parts, lambda s: F.element_at(known, F.regexp_replace(s, WRAP, " ")))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(found, "").alias("sentence_ids"))
     left, hits = F.col("sentence_ids"), []
     for name, ids in rules:

@@ -403,6 +403,78 @@ def test_license_rules_in_order(spark):
     assert (got[1].licenses, got[1].n_unmatched) == ("Apache-2.0,MIT", 0) and (got[2].licenses, got[2].n_unmatched) == ("", 1)
 
 
+APACHE = """Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2020, A. Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+GPL_3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+GPL_2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+
+
+def test_standard_licence_texts(spark):
+    texts = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD"), (GPL_3, "GPL-3.0-or-later"), (GPL_2, "GPL-2.0-or-later")]
+    forms = [
+        lambda t: t,
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "\n\n".join(re.sub(r"\s+", " ", p) for p in t.split("\n\n")),
+        lambda t: "\n".join(re.sub(r"\s+", " ", p) for p in t.split("\n\n")),
+        lambda t: "\n".join(f" * {x}" for x in t.split("\n")),
+        lambda t: "\n".join(f"# {x}" for x in t.split("\n")),
+        lambda t: "\n".join(f"-- {x}" for x in t.split("\n")),
+        lambda t: t.replace("\n\n", "\n"),
+    ]
+    rows = [(i, f(t), name) for i, (f, t, name) in enumerate((f, *x) for f in forms for x in texts)]
+    got = {r.doc_id: (r.licenses, r.n_unmatched) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert got == {i: (name, 0) for i, _, name in rows}
+    title = "                Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\nTERMS"
+    assert license.scan(spark.createDataFrame([(1, title)], "doc_id long, text string")).first().licenses == "Apache-2.0"
+    whole = re.sub(r"\s+", " ", APACHE[APACHE.index("Licensed") :])
+    apart = MIT.replace("a copy\nof this", "a copy\n\nof this")
+    got = license.scan(spark.createDataFrame([(1, whole), (2, apart), (3, "or " + whole)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.sentence_ids) for r in got[:2]] == [("Apache-2.0", "<apache-2.0><in-compliance><copy-at><apache-2.0-url>"), ("", "")]
+    assert (got[2].licenses, got[2].n_unmatched) == ("", 3)
+
+
 def test_mixing(spark, docs, none):
     rows = [r[:4] for r in ROWS if r[0] is not None]
     small = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'x' as mix_lang", "7 as MIX_EPOCH", "1 as epochs", "'x' as cut", "2 as rest")

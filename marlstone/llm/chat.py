@@ -4,9 +4,11 @@ A template is any function from turns to text. The prefixes of a conversation ar
 turn at a time; what a prefix adds to the one before is the new turn's span, and a prefix that
 does not begin with the one before shows a template that rewrites history. Inside a span the
 turn's text is found by rendering the turn with two probe texts: what both outputs share at
-their ends is the template's. Long conversations render from a moving start of at most WINDOW
-turns, so work stays proportional to their length; where the start moves, the span of the turn
-that stays must come out the same.
+their ends is the template's. Whole prefixes are rendered and compared, so work grows with the square
+of a conversation's turns, which are held while it is formatted. For templates known to render
+each turn by itself, a window may be asked for: prefixes then begin at a moving start of at most
+so many turns, and where the start moves, the span of the turn that stays must come out the same.
+A rewrite that only a longer prefix shows is not seen then.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Turns that are rendered together at most, and turns in one row of formatted output.
-WINDOW = 8
+#: Turns in one row of formatted output.
 PART_TURNS = 64
 
 Turn = tuple[str, str]
@@ -83,10 +84,11 @@ def _probe(base: str, render: Callable[[str], str]) -> tuple[int, int]:
 
 class IncrementalRenderer:
     """Feeds turns one by one; each call gives the text that the turn adds and where its content
-    lies in it."""
+    lies in it. ``window``: turns that are rendered together at most, for templates that render
+    each turn by itself; None renders whole prefixes."""
 
-    def __init__(self, template: Template = inst_template, window: int = WINDOW):
-        self.template, self.window = template, max(2, window)
+    def __init__(self, template: Template = inst_template, window: int | None = None):
+        self.template, self.window = template, window and max(2, window)
         self.turns: list[Turn] = []
         self.opening, self.base, self.last = True, "", ""
 
@@ -110,7 +112,7 @@ class IncrementalRenderer:
 def rewrites_history(template: Template, turns: list[Turn]) -> bool:
     """Whether any prefix of the turns renders to something that a longer prefix changes."""
     try:
-        renderer = IncrementalRenderer(template, len(turns) + 1)
+        renderer = IncrementalRenderer(template)
         for turn in turns:
             renderer.add(*turn)
     except TemplateRewritesHistory:
@@ -128,7 +130,7 @@ class _Part:
 _PART_SCHEMA = "conv_id long, part int, formatted string, turn_spans array<int>, loss_spans array<int>, last boolean"
 
 
-def _formatted(template: Template, loss_role: str, part_turns: int):
+def _formatted(template: Template, loss_role: str, part_turns: int, window: int | None):
     """Turns sorted by conversation and turn -> a row for each part of a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,7 @@ def _formatted(template: Template, loss_role: str, part_turns: int):
                 if renderer is None or conv != current:
                     if renderer is not None:
                         close(True)
-                    current, renderer, number = conv, IncrementalRenderer(template), 0
+                    current, renderer, number = conv, IncrementalRenderer(template, window), 0
                 elif len(part.text) == part_turns:
                     close(False)
                 added, begin, end = renderer.add(role, text)
@@ -168,7 +170,7 @@ def _formatted(template: Template, loss_role: str, part_turns: int):
     return run
 
 
-def format_chats(turns: DataFrame, template: Template = inst_template, loss_role: str = "assistant", part_turns: int = PART_TURNS) -> DataFrame:
+def format_chats(turns: DataFrame, template: Template = inst_template, loss_role: str = "assistant", part_turns: int = PART_TURNS, window: int | None = None) -> DataFrame:
     """Formats conversations (conv_id, turn, role, text) with spans and a loss mask.
 
     Returns, in order, rows of at most ``part_turns`` turns: conv_id, part (from 0), formatted,
@@ -176,12 +178,16 @@ def format_chats(turns: DataFrame, template: Template = inst_template, loss_role
     of the content of each ``loss_role`` turn) and whether it is the conversation's last. Turns
     go by turn, role and text, so ties have a fixed order and repeated rows are repeated turns.
     Null role or text is empty; a null conv_id is a conversation of its own; an empty table gives
-    no rows; other columns are not read. A conversation is streamed and never held whole. Raises
-    TemplateRewritesHistory for a template whose output for a prefix changes later.
+    no rows; other columns are not read. Raises TemplateRewritesHistory for a template whose output
+    for a prefix changes later: every prefix is rendered whole, so the turns of one conversation
+    are held and its work grows with their square. ``window`` renders at most so many turns
+    together instead, and streams: for templates that render each turn by itself only, as a
+    rewrite that a longer prefix would show is not seen, and a turn that rightly depends on those
+    before it is refused.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_formatted(template, loss_role, part_turns), _PART_SCHEMA)
+    return rows.select("conv_id", "role", "text").mapInArrow(_formatted(template, loss_role, part_turns, window), _PART_SCHEMA)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -377,6 +377,20 @@ def test_templates_that_rewrite_history():
             renderer.add(*turn)
 
 
+def test_whole_prefixes_are_rendered(spark):
+    turns = [("system" if i == 0 else "user", f"t{i}") for i in range(30)]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    last_ten = lambda t, opening: "".join(f"<{x}>" for _, x in t[-10:])
+    no_system_later = lambda t, opening: "".join(f"<{x}>" for role, x in t if role != "system" or len(t) <= 12)
+    numbered = lambda t, opening: "".join(f"{i}<{x}>" for i, (_, x) in enumerate(t))
+    for template in (last_ten, no_system_later):
+        with pytest.raises(Exception, match="TemplateRewritesHistory"):
+            chat.format_chats(rows, template).collect()
+    assert "".join(r.formatted for r in chat.format_chats(rows, numbered, part_turns=7).orderBy("part").collect()) == numbered(turns, True)
+    windowed = chat.format_chats(rows, window=8).collect()
+    assert windowed == chat.format_chats(rows).collect() and windowed[0].formatted == chat.inst_template(turns, True)
+
+
 # -- licences and mixing
 
 

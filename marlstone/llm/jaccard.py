@@ -38,8 +38,10 @@ BLOCK_ROWS = 8192
 #: Rows of a side that are compared at once, and groups up to which pairs are listed by shifts.
 SIDE_ROWS = 1024
 SMALL_GROUP = 48
-#: Pairs whose coordinates agree less are not compared exactly: six deviations below the threshold.
-ESTIMATE = 0.5
+#: Deviations of the share of agreeing coordinates below the threshold from which pairs are not
+#: compared exactly, and the share of the missed pairs that may be missed by this.
+DEVIATIONS = 6
+ESTIMATE_MISSES = 0.01
 #: Document ids up to which a side is broadcast.
 BROADCAST_IDS = 500_000
 _ODD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)
@@ -49,9 +51,27 @@ _ADD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xA0761D6478BD64
 def runs_for(recall: float, threshold: float = NEAR) -> int:
     """Runs after which a pair at the threshold is missed with probability 1 - recall at most,
     wherever buckets are split: a run keeps the pair if it shares the root's token and at each
-    deeper level one of BRANCH tokens."""
+    deeper level one of BRANCH tokens. A run has a coordinate of its own: raises ValueError if
+    more than COORDINATES are needed."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"no threshold above 0 up to 1 and recall between 0 and 1: {threshold}, {recall}")
     found = threshold * (1 - (1 - threshold) ** BRANCH) ** (DEPTH - 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - found)) if found < 1 else 1
+    if runs > COORDINATES:
+        raise ValueError(f"a recall of {recall} at a threshold of {threshold} takes {runs} runs; there are {COORDINATES} coordinates")
+    return runs
+
+
+def estimate_for(recall: float, threshold: float = NEAR) -> float:
+    """The share of agreeing coordinates below which pairs are not compared exactly: DEVIATIONS
+    below the threshold, or lower if a pair at the threshold were lost more often than by
+    ESTIMATE_MISSES of what the recall leaves."""
+    deviation = math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    least = max(0, math.floor(round((threshold - DEVIATIONS * deviation) * COORDINATES, 9)))
+    of = lambda k: math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+    while least and math.fsum(map(of, range(least))) > ESTIMATE_MISSES * (1 - recall):
+        least -= 1
+    return least / COORDINATES
 
 
 def unique_shingles(texts: list[str], words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -354,10 +374,11 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     """((doc_id, row_hash, set_id) of each row; (set_id, class_id, first, n_links) of each set that
     several rows have or that is linked). row_hash is xxhash64 of the text; first is the least row
     of the class, null doc_ids last."""
+    runs, estimate = runs_for(recall, threshold), estimate_for(recall, threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("row_hash"))
     found = written(rows.mapInArrow(_sets(False, words), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
     nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min(_place()).alias("first"), F.min("sig").alias("sig")), "nodes")
-    members = written(leaf_buckets(nodes, runs_for(recall, threshold), bucket_rows), "members")
+    members = written(leaf_buckets(nodes, runs, bucket_rows), "members")
     lists = members.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("col", "bucket"))).alias("_l"))
     lists = lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets"))
     # a bucket of more than block_rows is compared in pairs of blocks
@@ -366,7 +387,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     dealt = dealt.select("set_id", "col", "bucket", "block", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
     full = dealt.join(nodes.select("set_id", "weight", "sig").join(lists, "set_id"), "set_id")
     key = ["bucket", "bi", "bj"]
-    needed = full.repartition(*key).sortWithinPartitions(*key, "set_id").mapInArrow(_needed(ESTIMATE), "bucket long, bi int, bj int, set_id binary")
+    needed = full.repartition(*key).sortWithinPartitions(*key, "set_id").mapInArrow(_needed(estimate), "bucket long, bi int, bj int, set_id binary")
     needed = written(needed, "needed")
     again = needed.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id").select("doc_id").distinct()
     again = written(again, "again")
@@ -375,7 +396,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     texts = rows.join(again, rows["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").mapInArrow(_sets(True, words), "set_id binary, shingles binary")
     texts = texts.dropDuplicates(["set_id"])
     compared = full.join(needed, [*key, "set_id"]).join(texts, "set_id").repartition(*key).sortWithinPartitions(*key, "set_id")
-    links = written(compared.mapInArrow(_verified(ESTIMATE, threshold), "set_id binary, links long, root binary"), "links")
+    links = written(compared.mapInArrow(_verified(estimate, threshold), "set_id binary, links long, root binary"), "links")
     labels = connected(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = nodes.select("set_id", "weight", F.col("doc_id").alias("_least"), "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
@@ -394,7 +415,7 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     with all they are linked to. A text of fewer words is one shingle, a text without words the
     shingle of all its characters; null text counts as empty. A row with a null doc_id has the
     class of its links, null if it has none. An empty table gives no rows; other columns are not
-    read.
+    read. Raises ValueError for a recall that takes more runs than there are coordinates.
     """
     found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows)
     out = found.join(classes, "set_id", "left")

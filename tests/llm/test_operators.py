@@ -1,6 +1,7 @@
 """The operators on small awkward tables, against brute force or exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import wave
@@ -239,6 +240,27 @@ def test_large_groups_are_compared_in_sides(monkeypatch):
     assert many.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)] * 8
 
 
+def test_other_thresholds_are_not_filtered_by_the_default_estimate(spark):
+    assert jaccard.estimate_for(jaccard.TARGET_RECALL, 0.8) == 0.5 and jaccard.runs_for(jaccard.TARGET_RECALL, 0.8) == 6
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(64)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:44] + [f"v{k}x{i}" for i in range(20)]))]  # 40 of 80 shingles
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_classes(rows, 0.5), key=key) and all(r.n_links == 1 for r in got)
+
+
+def test_recalls_beyond_the_coordinates_are_refused(none):
+    for k in (0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 0.95, 0.99, 1.0):
+        least = round(jaccard.estimate_for(0.9999, k) * jaccard.COORDINATES)
+        lost = sum(math.comb(jaccard.COORDINATES, i) * k**i * (1 - k) ** (jaccard.COORDINATES - i) for i in range(least))
+        assert lost <= 1e-6
+    assert jaccard.runs_for(0.9999, 0.4) <= jaccard.COORDINATES
+    for call in (lambda: jaccard.runs_for(0.9999, 0.2), lambda: jaccard.near_duplicates(none, threshold=0.2), lambda: jaccard.keep_one_of_each(none, threshold=0.2)):
+        with pytest.raises(ValueError, match="runs"):
+            call()
+
+
 def test_runs_meet_the_recall():
     found = 0.8 * (1 - 0.2**jaccard.BRANCH) ** (jaccard.DEPTH - 1)
     assert (1 - found) ** jaccard.runs_for(0.999) <= 0.001 < (1 - found) ** (jaccard.runs_for(0.999) - 1)

@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files: fixed-size lists of equal-length sequences and their masks.
 
 A shard holds the ids of a run of documents in ascending doc_id order, cut into sequences of
-``sequence`` ids; the last one is padded and its mask, a bit for each id, is 0 there. Every record batch but the
+``sequence`` ids; the last one is padded and its mask, a byte for each id, is 0 there. Every record batch but the
 last has ``BATCH_ROWS`` rows, so sequence i of a mapped file is row i % BATCH_ROWS of batch
 i // BATCH_ROWS and is read without a copy. A second file of the shard lists its documents.
 """
@@ -56,7 +56,7 @@ class ShardWriter:
         self.temp = [f"{folder}/.{attempt}-{name}.arrow", f"{folder}/.{attempt}-{name}.docs.arrow"]
         self.dtype, self.sequence = dtype, sequence
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = [self.fs.open_output_stream(x) for x in self.temp]
         self.files = [pa.ipc.new_file(o, s) for o, s in zip(self.out, (self.schema, self.doc_schema))]
@@ -64,7 +64,8 @@ class ShardWriter:
         self.n_waiting = self.ids = self.docs = 0
 
     def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = np.zeros(len(ids), np.uint8)
+        mask[:real] = 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.files[0].write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -108,10 +109,10 @@ class ShardReader:
         self._batch: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i: the ids as a view of the mapped file, the mask from its bits."""
+        """(ids, mask) of sequence i, as views of the mapped file."""
         batch = self.file.get_batch(i // BATCH_ROWS)
-        ids, mask = (batch.column(c)[i % BATCH_ROWS].values for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        k = i % BATCH_ROWS
+        return tuple(batch.column(c)[k].values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """The n ids from place ``start`` of the shard."""

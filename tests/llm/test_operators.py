@@ -146,6 +146,19 @@ def test_token_files(spark, docs, none):
     assert tokenfiles.read_tokens(spark, tokenfiles.write_tokens(none, path, fresh_dir(spark, "t"))).collect() == []
 
 
+def test_masks_are_views_of_the_mapped_file(tmp_path):
+    writer = tokenfiles.ShardWriter(f"file://{tmp_path}", "s", "a", np.dtype(np.uint16), 16)
+    writer.add([1, 2], [np.arange(20), np.arange(7)])
+    writer.close()
+    reader = tokenfiles.ShardReader(f"file://{tmp_path}/s.arrow")
+    allocated = pa.total_allocated_bytes()
+    rows = [reader.row(i) for i in range(2)]
+    assert pa.total_allocated_bytes() == allocated and not any(x.flags.owndata for r in rows for x in r)
+    column = reader.file.get_batch(0).column(1).flatten().to_numpy(zero_copy_only=True)
+    assert [np.shares_memory(mask, column) for _, mask in rows] == [True, True]
+    assert [mask.tolist() for _, mask in rows] == [[1] * 16, [1] * 11 + [0] * 5]
+
+
 # -- language
 
 

@@ -71,9 +71,15 @@ def _share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """Adds budget, epochs (whole ones) and rest to leaves (LEAF columns, have: their tokens)."""
+    """Adds budget, epochs (whole ones) and rest to leaves (LEAF columns, have: their tokens).
+
+    What a source or language of weight 0 has counts in the budget's share of all tokens, but not
+    in what the subtrees above it can give. The SQL counts it there too, so it gives other rows
+    where a source or language has the weight 0.
+    """
     d, lang, source = LEAF
-    leaves = leaves.withColumn("most", (F.col("have") * mix.most_epochs).cast("long"))
+    can = (_weight(source, mix.sources) > 0) & (_weight(lang, mix.languages) > 0)
+    leaves = leaves.withColumn("most", F.when(can, F.col("have") * mix.most_epochs).otherwise(F.lit(0)).cast("long"))
     domains = leaves.groupBy(d).agg(F.sum("most").alias("most"), F.sum("have").alias("_have")).withColumn("weight", _weight(d, mix.domains)).withColumn("_root", F.lit(0))
     domains = domains.withColumn("_all", F.sum("_have").over(Window.partitionBy("_root")))  # a row for each domain
     domains = domains.withColumn("given", F.expr(f"cast(_all as decimal(20,0)) * {mix.share[0]} div {mix.share[1]}").cast("long"))

@@ -7,6 +7,7 @@ import re
 import wave
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -542,3 +543,41 @@ def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d0", "de", "c", 1000), ("d1", "en", "d", 1000)], "mix_domain string, mix_lang string, mix_source string, have long")
     got = {r.mix_source: r.budget for r in mixing.leaf_budgets(leaves, mixing.Mix(share=(800, 3010), most_epochs=1)).collect()}
     assert got == {"a": 10, "b": 190, "c": 200, "d": 400}
+
+
+def shares(given, nodes):
+    """Independent water filling: nodes (weight, most) one round after another, in fractions."""
+    out, open_ = {n: Fraction(0) for n in nodes}, {n for n, (weight, most) in nodes.items() if weight and most}
+    left = Fraction(given)
+    while open_:
+        unit = left / sum(nodes[n][0] for n in open_)
+        full = {n for n in open_ if nodes[n][1] <= unit * nodes[n][0]}
+        if not full:
+            return out | {n: unit * nodes[n][0] for n in open_}
+        out |= {n: Fraction(nodes[n][1]) for n in full}
+        left -= sum(nodes[n][1] for n in full)
+        open_ -= full
+    return out
+
+
+def budgets(leaves, mix):
+    """Independent budgets of (domain, language, source, have) leaves."""
+    can = {x[:3]: x[3] * mix.most_epochs * (mix.sources.get(x[2], 1) > 0) * (mix.languages.get(x[1], 1) > 0) * (mix.domains.get(x[0], 1) > 0) for x in leaves}
+    out = {(): Fraction(sum(x[3] for x in leaves) * mix.share[0], mix.share[1])}
+    for depth, weights in ((1, mix.domains), (2, mix.languages), (3, mix.sources)):
+        for parent in {x[: depth - 1] for x in leaves}:
+            nodes = {x[:depth] for x in leaves if x[: depth - 1] == parent}
+            out |= shares(out[parent], {n: (weights.get(n[-1], 1), sum(v for k, v in can.items() if k[:depth] == n)) for n in nodes})
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"sources": {"a": 0}}, {"languages": {"fr": 0, "en": 3}}, {"sources": {"a": 0, "c": 0}, "languages": {"de": 0}}, {"domains": {"d1": 0}, "sources": {"b": 0}}, {"languages": {"en": 2}}])
+def test_weights_of_zero_leave_their_budget_to_others(spark, weights):
+    leaves = [(d, lang, s, have * 10**6) for (d, lang, s), have in zip([(d, lang, s) for d in ("d0", "d1") for lang in ("en", "fr", "de") for s in ("a", "b", "c")], [900, 50, 60, 700, 20, 30, 500, 40, 10, 80, 300, 400, 5, 600, 90, 70, 100, 200])]
+    for share in ((1, 4), (1, 2)):
+        mix = mixing.Mix(**weights, share=share, most_epochs=1)
+        found = mixing.leaf_budgets(spark.createDataFrame(leaves, "mix_domain string, mix_lang string, mix_source string, have long"), mix).collect()
+        want = budgets(leaves, mix)
+        assert len(found) == len(leaves)
+        for r in found:
+            assert abs(r.budget - want[r.mix_domain, r.mix_lang, r.mix_source]) <= 3, (r, mix)

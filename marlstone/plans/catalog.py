@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..operators.frame import Frame
+from ..scratch import fresh_dir
 from ..sources.archive import Archive
 from ..sources.types import F64, STRING, Int, Opt
 
@@ -44,15 +43,6 @@ def query(sql: str | None):
     return add
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A path in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marlstone"
-    path = f"{shared}/{name}-{uuid.uuid4().hex[:12]}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 # -- filters
 
 
@@ -286,7 +276,7 @@ _EVENT = {"event_id": Int("i64"), "user_id": Int("i64"), "event_type": STRING, "
 
 def _event_archive(spark: SparkSession, sf_dir: str) -> Archive:
     """An archive with events in two segments."""
-    archive = Archive.new(spark, _scratch(spark, "archive"))
+    archive = Archive.new(spark, fresh_dir(spark, "archive"))
     archive.schema("events", _EVENT)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(*_EVENT)
     archive.write_frame("events", rows.where("event_id < 3000"), ["event_id"])
@@ -323,7 +313,7 @@ fresh AS (SELECT event_type, user_id, least(3000, (SELECT count(*) FROM events))
 SELECT event_id, CAST(coalesce(h.i, f.i) AS BIGINT) AS "index" FROM req LEFT JOIN have h USING (event_type, user_id) LEFT JOIN fresh f USING (event_type, user_id)
 """)
 def get_or_insert_indices(spark, sf_dir):
-    archive = Archive.new(spark, _scratch(spark, "dictionary"))
+    archive = Archive.new(spark, fresh_dir(spark, "dictionary"))
     archive.schema("words", {"event_type": STRING, "user_id": Int("i64")})
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id")
     archive.write_frame("words", rows.where("event_id < 3000").repartitionByRange("event_id").sortWithinPartitions("event_id").select("event_type", "user_id"))

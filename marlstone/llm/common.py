@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokenids import _BASE, _INVERSE, _U, _mix, _powers
+from ..scratch import fresh_dir
+from .tokenids import _U, _mix, span_keys
 
 #: Words in a shingle and the similarity from which two documents are near-duplicates.
 SHINGLE_WORDS = 5
@@ -21,24 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder: lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -55,34 +39,54 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows in an Arrow batch of texts, which bounds what a Python worker holds at once.
-BATCH_ROWS = 1000
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has a column of (any letter case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def text_column(df: DataFrame, name: str = "text") -> Column:
-    """The text, with null as empty. Keeps the session's Arrow batches at BATCH_ROWS rows."""
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return F.coalesce(df[name].cast("string"), F.lit(""))
+def aside(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df with its columns of these names (any letter case) under other, unused names."""
+    return df.toDF(*[unused(df, f"own_{c}")[0] if c.lower() in names else c for c in df.columns])
 
 
-_TABLES: dict[str, np.ndarray] = {}
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLES.get("p", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        _TABLES["p"], _TABLES["i"] = _powers(_BASE, size), _powers(_INVERSE, size)
-    return _TABLES["p"], _TABLES["i"]
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands in df, by its name in any letter case."""
+    return [c.lower() for c in df.columns].index(name.lower())
 
 
-def run_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each codes[begin:end]."""
-    power, inverse = _tables(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * power[: len(codes)], out=total[1:], dtype=np.uint64)
-        return _mix((total[ends] - total[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+def text_column(df: DataFrame, name: str = "text") -> Column:
+    """The text, with null as empty."""
+    return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+#: Rows and bytes of text that a Python worker has as strings at once. Spark bounds the batches
+#: that it sends by rows and bytes of its own (spark.sql.execution.arrow.maxBytesPerBatch).
+BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 23
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, of at most BATCH_ROWS rows and, if of more than one row, of about
+    BATCH_BYTES bytes in column ``at``."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        upto, begin = np.cumsum(size, dtype=np.int64), 0
+        while begin < batch.num_rows:
+            before = upto[begin - 1] if begin else 0
+            end = int(np.searchsorted(upto, before + BATCH_BYTES, side="right"))
+            end = max(begin + 1, min(end, begin + BATCH_ROWS))
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 _WORD = np.zeros(256, bool)
@@ -93,13 +97,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text). Words are lower-cased runs of ASCII
     letters and digits and of all characters beyond ASCII."""
     raw = [x.lower().encode("utf-8", "replace") for x in texts]
-    codes = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+    joined = b"\0".join(raw) + b"\0"
+    codes = np.frombuffer(joined, np.uint8)
     word = _WORD[codes]
     edge = np.diff(word.astype(np.int8), prepend=0)
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
     upto = np.searchsorted(begins, text_ends)
-    return run_hashes(codes, begins, ends), np.diff(upto, prepend=0)
+    return span_keys(joined + bytes(8), begins, ends), np.diff(upto, prepend=0)
 
 
 def shingles(texts: list[str], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

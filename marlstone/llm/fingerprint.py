@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, shingles, table, text_blocks, text_column
+from .common import SHINGLE_WORDS, shingles, table, text_batches, text_blocks, text_column
 from .tokenids import _U, _mix
 
 BINS = 512
@@ -91,7 +91,7 @@ _LOWEST = -(1 << 63)
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, those with pos 1 last: the first of these follows the partition's last."""
     waiting: list[tuple] = []
-    for batch in batches:
+    for batch in text_batches(batches):
         rows = [*waiting, *zip(*(c.to_pylist() for c in batch.columns))]
         own = next((i for i, r in enumerate(rows) if r[2]), len(rows))
         rows = rows[: own + 1]
@@ -117,7 +117,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     read. Equal texts have equal fingerprints; a text of few words is its one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_hex(fingerprints(batch.column(1).to_pylist())), pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs)).mapInArrow(run, "doc_id long, fingerprint string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_column, written
+from .common import own_columns, table, text_batches, text_column, unused, written
 from .tokenids import PieceCache
 
 CAPACITY = 2048
@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = PieceCache.of(tokenizer_path)
-        for batch in batches:
+        for batch in text_batches(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             keep: list[np.ndarray] = []
             for doc, ids in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1).to_pylist())):
@@ -188,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (any columns, with ``length`` from 1 to capacity).
+    """Adds sequence_id and offset to pieces (any other columns, with ``length`` from 1 to capacity).
 
     ``pieces`` must give the same rows each time it is read (a written table). Ranks within a
     length come from salted groups: a length of a third of all pieces is spread like any other.
@@ -197,29 +197,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     salts = max(1, -(-sum(counts.values()) // RANK_ROWS))
     known = spark.sparkContext.broadcast(places(solve(counts, capacity)))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start") if c in pieces.columns]), F.lit(salts)).cast("int"))
-    each = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("length", "_salt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    salt, n, before, rank = unused(pieces, "salt", "n", "before", "rank")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start") if c in pieces.columns]), F.lit(salts)).cast("int"))
+    each = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    w = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("length", salt, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
     order = [c for c in ("doc_id", "piece") if c in pieces.columns] or ["length"]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = ranked.join(each, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)))
+    ranked = ranked.join(each, ["length", salt]).withColumn(rank, F.col(rank) - 1 + F.col(before))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = known.value
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            ranks = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
                 rows = found[x]
-                first, per, base, start = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1].T
-                sequence[at] = base + (rank[at] - first) // per
-                offset[at] = start + (rank[at] - first) % per * x
+                first, per, base, start = rows[np.searchsorted(rows[:, 0], ranks[at], side="right") - 1].T
+                sequence[at] = base + (ranks[at] - first) // per
+                offset[at] = start + (ranks[at] - first) % per * x
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    ranked = ranked.select(*pieces.columns, "_rank")
+    ranked = ranked.select(*own_columns(pieces), rank)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long", "offset long"])
     return ranked.mapInArrow(place, schema)
 

@@ -4,7 +4,8 @@ Both vocabularies split a text into pieces first and then encode each piece on i
 ids(text) is the concatenation of ids(piece). :class:`PieceCache` finds the pieces of a batch
 with numpy, encodes only the pieces it has not seen and copies the ids of the others. It does
 so for texts of ASCII and Latin-1 letters, where the split is known exactly; every other text
-goes to the library as it is.
+goes to the library as it is. A piece is told by its bytes: up to eight are the key themselves,
+longer ones are kept and compared.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The bits of a word of n bytes.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
 _LETTER, _DIGIT, _SYMBOL, _SPACE, _END = 1, 2, 3, 4, 5
-#: Characters numbered at once; also the length of the power tables.
+#: Characters numbered at once.
 BLOCK_CHARS = 1 << 19
 #: Distinct pieces kept; beyond it the cache starts again empty.
 MAX_PIECES = 1_000_000
+#: Bytes of pieces kept, likewise.
+MAX_KEPT = 1 << 25
 
 
 def _classes() -> np.ndarray:
@@ -43,13 +46,6 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = h ^ (h >> _U(33))
@@ -59,6 +55,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(32))
 
 
+def byte_windows(raw: bytes | np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw as a number; raw ends with eight zero bytes."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def span_words(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words of eight bytes that cover spans of over eight bytes, each word's
+    number in its span, and the first word of each span; the last word of a span ends with it."""
+    n = (ends - begins + 7) >> 3
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    return np.minimum(np.repeat(begins, n) + 8 * number, np.repeat(ends, n) - 8), number, first
+
+
+def span_keys(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each raw[begin:end], none of which is empty or holds a zero byte. Spans of
+    up to eight bytes have a key of their own among such; raw ends with eight zero bytes."""
+    at, size = byte_windows(raw), ends - begins
+    keys = at[begins] & _BYTES[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        places, number, first = span_words(begins[long], ends[long])
+        with np.errstate(over="ignore"):
+            words = _mix(at[places] ^ _mix(number.astype(np.uint64) + _U(0x51)))
+            keys[long] = _mix(np.add.reduceat(words, first) + size[long].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return _mix(keys)
+
+
 def load_tokenizer(path: str):
     """The tokenizer of a file; strings of its special tokens are ordinary text."""
     from tokenizers import Tokenizer
@@ -131,7 +155,6 @@ class PieceCache:
         del form
         self.max_pieces = max_pieces
         self.bits = max(10, int(max_pieces * 2).bit_length())
-        self.power, self.inverse = _powers(_BASE, BLOCK_CHARS + 2), _powers(_INVERSE, BLOCK_CHARS + 2)
         self._clear()
 
     @staticmethod
@@ -147,7 +170,10 @@ class PieceCache:
         self.at = np.zeros(1 << self.bits, np.int32)
         self.size = np.zeros(1 << self.bits, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = self.count = 0
+        self.length = np.zeros(1 << self.bits, np.int32)  # bytes of the piece
+        self.kept_at = np.zeros(1 << self.bits, np.int64)  # of over eight bytes: where they are kept
+        self.kept = np.zeros(1 << 16, np.uint8)
+        self.used = self.used_kept = self.count = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it is missing."""
@@ -164,13 +190,27 @@ class PieceCache:
             todo = todo[~same & (there != 0)]
         return out
 
-    def _insert(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Distinct keys that are not there yet; ids of all of them one after the other."""
+    def _keep_ids(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece are kept from now on."""
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
         at = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
+        return at
+
+    def _insert(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Distinct keys that are not there yet, with the bytes of their pieces."""
+        sizes, ids = self._encode_pieces(pieces)
+        at = self._keep_ids(sizes, ids)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        kept = np.where(length > 8, length, 0)
+        kept_at = self.used_kept + np.cumsum(kept) - kept
+        more = np.frombuffer(b"".join(x for x in pieces if len(x) > 8), np.uint8)
+        if self.used_kept + len(more) + 8 > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros(max(len(self.kept), len(more) + 8), np.uint8)])
+        self.kept[self.used_kept : self.used_kept + len(more)] = more
+        self.used_kept += len(more)
         self.count += len(keys)
         mask = (1 << self.bits) - 1
         slot, todo = (keys >> _U(64 - self.bits)).astype(np.int64), np.arange(len(keys))
@@ -179,13 +219,26 @@ class PieceCache:
             self.keys[slot[free]] = keys[free]  # of those for one slot the last stays
             won = free[self.keys[slot[free]] == keys[free]]
             self.at[slot[won]], self.size[slot[won]] = at[won], sizes[won]
+            self.length[slot[won]], self.kept_at[slot[won]] = length[won], kept_at[won]
             lost = np.ones(len(keys), bool)
             lost[won] = False
             todo = todo[lost[todo]]
             slot[todo] = (slot[todo] + 1) & mask
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _other(self, slots: np.ndarray, raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces whose slot holds another piece of the same key."""
+        length = ends - begins
+        other = self.length[slots] != length
+        long = np.flatnonzero((length > 8) & ~other)
+        if len(long):
+            here, number, first = span_words(begins[long], ends[long])
+            kept = self.kept_at[slots[long]]
+            there = np.repeat(kept - begins[long], np.diff(first, append=len(here))) + here
+            other[long] = np.logical_or.reduceat(byte_windows(raw)[here] != byte_windows(self.kept)[there], first)
+        return np.flatnonzero(other)
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("latin-1") for x in pieces], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
 
@@ -195,28 +248,28 @@ class PieceCache:
         codes = np.frombuffer(raw, np.uint8)
         begins, ends = piece_starts(codes, self.words_only)
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(codes * self.power[: len(codes)], out=total[1:], dtype=np.uint64)
-            keys = (total[ends] - total[begins]) * self.inverse[begins] + (ends - begins).astype(np.uint64)
-        keys = _mix(keys) | _U(1)
-        if self.count > self.max_pieces:
+        raw += bytes(8)
+        keys = np.maximum(span_keys(raw, begins, ends), _U(1))
+        if self.count > self.max_pieces or self.used_kept > MAX_KEPT:
             self._clear()
         slots = self._find(keys)
         missing = np.flatnonzero(slots < 0)
+        pieces = lambda which: [raw[b:e] for b, e in zip(begins[which].tolist(), ends[which].tolist())]
         if len(missing):
             new, first = np.unique(keys[missing], return_index=True)
-            at = missing[first]
-            pieces = [raw[b:e].decode("latin-1") for b, e in zip(begins[at].tolist(), ends[at].tolist())]
             if self.count + len(new) > (1 << self.bits) * 3 // 4:
                 self._clear()
                 new, first = np.unique(keys, return_index=True)
-                pieces = [raw[b:e].decode("latin-1") for b, e in zip(begins[first].tolist(), ends[first].tolist())]
-            self._insert(new, *self._encode_pieces(pieces))
+                missing = np.arange(len(keys))
+            self._insert(new, pieces(missing[first]))
             slots = self._find(keys)
-        sizes = self.size[slots].astype(np.int64)
+        sizes, at = self.size[slots].astype(np.int64), self.at[slots].astype(np.int64)
+        other = self._other(slots, raw, begins, ends)
+        if len(other):
+            sizes[other], ids = self._encode_pieces(pieces(other))
+            at[other] = self._keep_ids(sizes[other], ids)
         upto = np.cumsum(sizes)
-        take = np.repeat(self.at[slots] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        take = np.repeat(at - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
         last = np.searchsorted(begins, text_ends, side="left")  # pieces before each text's end
         return self.ids[take], np.concatenate([[0], upto])[last]
 

@@ -8,6 +8,7 @@ i // BATCH_ROWS and is read without a copy. A second file of the shard lists its
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, table, text_column
-from .tokenids import PieceCache
+from ..scratch import fresh_dir
+from .common import table, text_batches, text_column
+from .tokenids import PieceCache, load_tokenizer
 
 SEQUENCE = 1024
 BATCH_ROWS = 64
@@ -38,27 +40,34 @@ class Shard:
     start: int
 
 
+#: Names that Hadoop's file systems have for stores that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
+    """The Arrow file system of a path as Spark has it, and the path there."""
+    scheme, mark, rest = uri.partition(":")
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
-def _id_type(max_id: int) -> np.dtype:
-    return np.dtype(np.uint16) if max_id < 1 << 16 else np.dtype(np.uint32)
+def id_type(largest: int) -> np.dtype:
+    """The narrowest unsigned type of 16 or 32 bits that holds all ids."""
+    if not 0 <= largest < 1 << 32:
+        raise ValueError(f"{largest} is no id of 32 bits")
+    return np.dtype(np.uint16) if largest < 1 << 16 else np.dtype(np.uint32)
 
 
 class ShardWriter:
-    """Writes one shard; nothing is visible under its name before :meth:`close`."""
+    """Writes one shard under a name that no other writer has; it is whole after :meth:`close`."""
 
-    def __init__(self, uri: str, name: str, attempt: str, dtype: np.dtype, sequence: int = SEQUENCE):
+    def __init__(self, uri: str, name: str, dtype: np.dtype, sequence: int = SEQUENCE):
         self.fs, folder = _open_fs(uri)
         self.fs.create_dir(folder, recursive=True)
-        self.final = [f"{folder}/{name}.arrow", f"{folder}/{name}.docs.arrow"]
-        self.temp = [f"{folder}/.{attempt}-{name}.arrow", f"{folder}/.{attempt}-{name}.docs.arrow"]
         self.dtype, self.sequence = dtype, sequence
         kind = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        self.out = [self.fs.open_output_stream(x) for x in self.temp]
+        self.out = [self.fs.open_output_stream(f"{folder}/{name}{x}") for x in (".arrow", ".docs.arrow")]
         self.files = [pa.ipc.new_file(o, s) for o, s in zip(self.out, (self.schema, self.doc_schema))]
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.ids = self.docs = 0
@@ -73,6 +82,9 @@ class ShardWriter:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = self.ids + np.cumsum(sizes) - sizes
         self.files[1].write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.doc_schema))
+        most = max((int(x.max()) for x in ids if len(x)), default=0)
+        if most > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {most} does not fit {self.dtype}")
         self.waiting += [x.astype(self.dtype) for x in ids]
         self.n_waiting += int(sizes.sum())
         self.ids += int(sizes.sum())
@@ -94,8 +106,6 @@ class ShardWriter:
         for f, o in zip(self.files, self.out):
             f.close()
             o.close()
-        for a, b in zip(self.temp, self.final):
-            self.fs.move(a, b)
 
 
 class ShardReader:
@@ -131,38 +141,49 @@ class ShardReader:
             yield from zip(*(c.to_pylist() for c in self.docs.get_batch(k).columns))
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = END_ID, sequence: int = SEQUENCE, max_id: int = 49_407) -> list[Shard]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> list[Shard]:
     """Encodes whole texts, adds the end id to each and writes shards in ascending doc_id order.
 
-    Rows of one doc_id are ordered by their text's hash; a null doc_id comes first; null text is
-    empty and gives its end id alone. An empty table gives no shard. A task that runs again
-    writes the same file and replaces the one before. The result, a row for each shard, is what
-    :func:`read_tokens` needs.
+    Rows of one doc_id are ordered by their text's hash, and ranges cut by it too; a null doc_id
+    comes first; null text is empty and gives its end id alone. An empty table gives no shard.
+    Ids are of 16 bits if the vocabulary and the end id fit, else of 32. Every attempt of a task
+    writes files of its own, and only those of the attempts that Spark took are in the result, a
+    row for each shard, which is what :func:`read_tokens` needs; other attempts' files are
+    removed. ``out_dir`` is a path that Arrow can open too (file, hdfs, s3 or s3a, abfs, gs).
     """
-    dtype = _id_type(max(max_id, end_id))
+    dtype = id_type(max(load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1, end_id))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, context, out = PieceCache.of(tokenizer_path), TaskContext.get(), None
-        name = f"shard-{context.partitionId():06d}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = out or ShardWriter(out_dir, name, str(context.taskAttemptId()), dtype, sequence)
+        name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        for batch in text_batches(batches):
+            out = out or ShardWriter(out_dir, name, dtype, sequence)
             out.add(batch.column(0).to_pylist(), [np.append(x, np.uint32(end_id)) for x in cache.encode(batch.column(1).to_pylist())])
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{out_dir}/{name}.arrow"], "docs": [out.docs], "ids": [out.ids]})
+            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [f"{out_dir}/{name}.arrow"], "docs": [out.docs], "ids": [out.ids]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    found = sorted(tuple(r) for r in rows.mapInArrow(write, "path string, docs long, ids long").collect())  # a row for each shard
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("_h"))
+    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+    found = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, path string, docs long, ids long").collect())  # a row for each shard
     shards, start = [], 0
-    for path, n_docs, ids in found:
+    for _, path, n_docs, ids in found:
         shards.append(Shard(path, n_docs, ids, start))
         start += ids
+    if shards:
+        _remove_others(out_dir, shards)
     return shards
 
 
+def _remove_others(out_dir: str, shards: list[Shard]) -> None:
+    """Files of attempts that were lost or ran twice."""
+    fs, folder = _open_fs(out_dir)
+    mine = {x.path.rsplit("/", 1)[1].removesuffix(".arrow") for x in shards}
+    for f in fs.get_file_info(pa.fs.FileSelector(folder)):
+        if f.base_name.startswith("shard-") and f.base_name.split(".", 1)[0] not in mine:
+            fs.delete_file(f.path)
+
+
 def read_tokens(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts the
     ids of all documents before it, ids_crc32 the ids as little-endian unsigned 32-bit."""

@@ -3,8 +3,8 @@
 Subwords are runs of one to four characters of the lower-cased text whose inner characters are
 letters, a word's edges included. Each is hashed to one of BUCKETS embeddings; a text is the
 average of its embeddings, trained with the softmax by stochastic gradient descent in numpy. A
-temperature fitted on rows kept from training calibrates the scores; texts less certain than
-every such row that was right are rejected.
+temperature fitted on rows kept from training calibrates the scores; texts less certain than all
+but REJECTED_RIGHT of those of these rows that were right are rejected.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks, text_column
+from .common import aside, own_columns, place_of, table, text_batches, text_blocks, text_column
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 ORDERS = 4
-#: Labelled rows of each language that are fitted, taken by the hash of their doc_id.
+#: Labelled rows of each language that are fitted, taken by the hash of their doc_id and text.
 ROWS_PER_LANGUAGE = 400
-#: Times as many doc_ids as are fitted are ranked.
+#: Times as many rows as are fitted are ranked.
 SPREAD = 4
 EPOCHS = 8
 RATE = 0.2
-#: No text with a higher score is ever rejected.
-MOST_REJECTED = 0.5
+#: The share of rightly identified texts that rejection may cost: it sets the threshold.
+REJECTED_RIGHT = 0.005
+#: A calibrated score from which no text is rejected, however certain the others are.
+CERTAIN = 0.9
 UNKNOWN = "und"
 _BLOCK = 1 << 18
 _LETTERS: list[np.ndarray] = []
@@ -137,7 +139,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], seed: int = 7) ->
         best = min(best, (float(-np.log(np.maximum(p, 1e-9)).mean()), float(t)))
     p = softmax(scores / best[1])
     right = p.argmax(axis=1) == truth
-    return LanguageModel(languages, logits, best[1], float(min([MOST_REJECTED, *p.max(axis=1)[right]])))
+    return LanguageModel(languages, logits, best[1], rejection_threshold(p.max(axis=1)[right]))
+
+
+def rejection_threshold(scores: np.ndarray, rate: float = REJECTED_RIGHT) -> float:
+    """The score that a share ``rate`` of these scores of right rows is below, CERTAIN at most; 0
+    without rows."""
+    return min(CERTAIN, float(np.quantile(scores, rate))) if len(scores) else 0.0
 
 
 def held_out(doc_id) -> F.Column:
@@ -145,32 +153,35 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def least_hashed(known: DataFrame, rows_per_language: int) -> DataFrame:
-    """(lang, doc_id, _r) of the doc_ids of least hash of each language, ranked from 1.
+def least_hashed(known: DataFrame, rows_per_language: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(lang, keys, _r) of the rows of least hash of each language, ranked from 1; rows of the
+    same keys are one.
 
     Hashes above SPREAD times the share that is looked for are put aside before ranking, by the
-    distinct doc_ids that a sketch counts, so that a language's rows are not ranked in one task.
+    distinct rows that a sketch counts, so that a language's rows are not ranked in one task.
     """
-    ids = known.select("doc_id", "lang")
-    counted = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids"))  # a row for each language
-    near = ids.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(counted), "lang")
-    near = near.where((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_ids") <= SPREAD * rows_per_language).select("doc_id", "lang", "_h").distinct()
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-    return ranked.where(F.col("_r") <= rows_per_language).select("lang", "doc_id", "_r")
+    ids = known.select("lang", *keys, F.xxhash64(*keys).alias("_h"))
+    counted = ids.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_ids"))  # a row for each language
+    near = ids.join(F.broadcast(counted), "lang")
+    near = near.where((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_ids") <= SPREAD * rows_per_language).select("lang", *keys, "_h").distinct()
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", *keys)))
+    return ranked.where(F.col("_r") <= rows_per_language).select("lang", *keys, "_r")
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learns from text and non-null lang of rows that are not held out.
 
-    At most ``rows_per_language`` rows of each language are fitted: those of least hash of
-    doc_id. Every fifth of them calibrates. Their whole texts are counted on the executors.
+    At most ``rows_per_language`` rows of each language are fitted: those of least hash of doc_id
+    and text, rows that repeat both being one. Every fifth of them calibrates. Their whole texts
+    are counted on the executors; what comes to the driver are their subwords with counts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_column(docs).alias("text"))
-    picked = least_hashed(known, rows_per_language)
+    known = known.withColumn("row_hash", F.xxhash64("text"))
+    picked = least_hashed(known, rows_per_language, ("doc_id", "row_hash"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             langs, ranks, texts = (batch.column(i).to_pylist() for i in range(3))
             keep = [[], []]
             for text in texts:
@@ -181,8 +192,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Langua
             columns = [pa.array(langs, pa.string()), pa.array(ranks, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in keep)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "rank", "buckets", "counts"])
 
-    # at most rows_per_language ids of each language: a bounded side
-    sample = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "_r", "text")
+    # at most rows_per_language rows of each language: a bounded side
+    sample = known.join(F.broadcast(picked), ["doc_id", "row_hash", "lang"]).select("lang", "_r", "text").dropDuplicates(["lang", "_r"])
     rows = sample.mapInArrow(count, "lang string, rank int, buckets array<int>, counts array<int>").toPandas()
     rows = rows.sort_values(["lang", "rank"], kind="stable")
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, np.float64), r % 5 == 0) for a, r, b, c in zip(rows["lang"], rows["rank"], rows["buckets"], rows["counts"])])
@@ -195,14 +206,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     model knows no language. New columns replace old ones of these names (any letter case).
     """
     new = ("lang_pred", "score", "rejected")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index("text")
+    text_at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in text_batches(batches, text_at):
             texts = [x or "" for x in batch.column(text_at).to_pylist()]
             probs, letters = m.probabilities(texts) if m.languages else (np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64))
             score = np.where(letters > 0, probs.max(axis=1, initial=0), 0.0)
@@ -216,7 +227,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is identified, with the columns of docs."""
-    return identify(docs, train(docs)).where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.columns
+    docs = aside(docs, ("lang_pred", "score", "rejected"))
+    kept = identify(docs, train(docs)).where(~F.col("rejected"))
+    return kept.select(*own_columns(docs)).toDF(*named)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ epochs, and what one cannot take goes to its siblings by their weights before an
 to the parent's siblings. Each leaf takes whole epochs and then the documents of one more seeded
 order until its budget is met.
 
-No step holds the rows of a leaf together: its cut is found from sums of 4096 ranges of the
-seeded order, and only the rows of the one range with the cut are ordered.
+No step holds the rows of a leaf together: its cut is found from sums of RANGES ranges of the
+seeded order, the range with the cut is divided again until it has few rows, and only these are
+ordered.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_column, written
+from .common import own_columns, table, text_column, unused, written
 
 #: A word for the token counts here.
 WORD = r"[^ \t\n\r\f\x0B]+"
 #: Leaves up to which their table is broadcast.
 BROADCAST_LEAVES = 50_000
+#: Ranges (two hexadecimal digits of the place) that a range of a leaf is divided into, and rows
+#: of a range up to which it is ordered.
+RANGES = 256
+RANGE_ROWS = 5_000
+_DIGITS = 2
 LEAF = ["mix_domain", "mix_lang", "mix_source"]
 
 
@@ -74,8 +80,8 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds budget, epochs (whole ones) and rest to leaves (LEAF columns, have: their tokens).
 
     What a source or language of weight 0 has counts in the budget's share of all tokens, but not
-    in what the subtrees above it can give. The SQL counts it there too, so it gives other rows
-    where a source or language has the weight 0.
+    in what the subtrees above it can give. Shares are rounded down, so the siblings of a parent
+    leave less than a token each.
     """
     d, lang, source = LEAF
     can = (_weight(source, mix.sources) > 0) & (_weight(lang, mix.languages) > 0)
@@ -117,13 +123,20 @@ def leaf_cuts(counted: DataFrame, mix: Mix) -> DataFrame:
     """Of each leaf budget, epochs, rest and cut: the last place of its seeded order whose
     documents are taken once more (null: none). ``counted`` is a written table."""
     leaves = written(leaf_budgets(counted.groupBy(*LEAF).agg(F.sum("mix_tokens").alias("have")), mix), "leaves")
-    rows = counted.join(_sized(leaves), LEAF).where(F.col("rest") > 0).withColumn("_at", _order(mix)).withColumn("_range", F.substring("_at", 1, 3))
-    ranges = rows.groupBy(*LEAF, "_range").agg(F.sum("mix_tokens").alias("_n"), F.first("rest").alias("_rest"))
-    upto = Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).where(F.col("_before") < F.col("_rest"))
-    last = ranges.groupBy(*LEAF).agg(F.max(F.struct("_range", "_before")).alias("_last")).select(*LEAF, "_last.*")
-    last = written(last, "ranges")
-    inside = rows.join(_sized(last), [*LEAF, "_range"])
+    rows = counted.join(_sized(leaves), LEAF).where(F.col("rest") > 0).withColumn("_at", _order(mix))
+    rows = rows.select(*LEAF, "_at", "rest", "mix_tokens")
+    inside, digits, before = rows, 0, F.lit(0).cast("long")
+    while digits < 32:
+        digits += _DIGITS
+        ranges = inside.groupBy(*LEAF, F.substring("_at", 1, digits).alias("_range")).agg(F.sum("mix_tokens").alias("_n"), F.count("*").alias("_rows"), F.first("rest").alias("_rest"), F.first(before).alias("_first"))
+        upto = Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows of a leaf
+        ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + F.col("_first")).where(F.col("_before") < F.col("_rest"))
+        last = ranges.groupBy(*LEAF).agg(F.max(F.struct("_range", "_before", "_rows")).alias("_last")).select(*LEAF, "_last.*")
+        last = written(last, "ranges")
+        inside = rows.join(_sized(last), LEAF).where(F.col("_at").startswith(F.col("_range")))
+        before = F.col("_before")
+        if (last.agg(F.max("_rows")).first()[0] or 0) <= RANGE_ROWS:
+            break
     upto = Window.partitionBy(*LEAF).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = Window.partitionBy(*LEAF, "_at")
     inside = inside.withColumn("_cum", F.sum("mix_tokens").over(upto) - F.sum("mix_tokens").over(own) + F.col("_before"))
@@ -133,11 +146,12 @@ def leaf_cuts(counted: DataFrame, mix: Mix) -> DataFrame:
 
 def take(rows: DataFrame, cuts: DataFrame, mix: Mix) -> DataFrame:
     """Rows (LEAF columns and doc_id) that the mix takes, once for each epoch, with mix_epoch."""
-    cuts = cuts.select(*LEAF, F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"))
+    epochs, cut, copies = unused(rows, "mix_epochs", "mix_cut", "mix_copies")
+    cuts = cuts.select(*LEAF, F.col("epochs").alias(epochs), F.col("cut").alias(cut))
     joined = rows.join(_sized(cuts), LEAF)
-    copies = F.col("_mix_epochs") + F.when(F.col("_mix_cut").isNotNull() & (_order(mix, "_mix_epochs") <= F.col("_mix_cut")), 1).otherwise(0)
-    joined = joined.withColumn("_mix_copies", copies).where(F.col("_mix_copies") > 0)
-    return joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1))).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("mix_epoch").cast("int").alias("mix_epoch"))
+    more = F.when(F.col(cut).isNotNull() & (_order(mix, epochs) <= F.col(cut)), 1).otherwise(0)
+    joined = joined.withColumn(copies, F.col(epochs) + more).where(F.col(copies) > 0)
+    return joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).select(*own_columns(rows), F.col("mix_epoch").cast("int").alias("mix_epoch"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
@@ -151,7 +165,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     are replaced.
     """
     new = (*LEAF, "mix_epoch")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     return take(_leaf_columns(docs), leaf_cuts(written(count_tokens(docs), "counted"), mix), mix)
 
 
@@ -161,6 +175,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(nodes: str, parents: str, name: str) -> str:
+    nodes = f"(SELECT * REPLACE (CASE WHEN weight > 0 THEN most ELSE 0 END AS most, greatest(weight, 1) AS weight) FROM {nodes})"
     return f"""(
   SELECT * EXCLUDE (_full, _taken, _open), CASE WHEN _full THEN most
     ELSE ((given - sum(CASE WHEN _full THEN most ELSE 0 END) OVER g) * weight // sum(CASE WHEN _full THEN 0 ELSE weight END) OVER g)::BIGINT END AS budget
@@ -177,7 +192,8 @@ WITH counted AS (
   SELECT doc_id, 'd' || right(coalesce(source, ''), 1) AS mix_domain, coalesce(lang, '') AS mix_lang, coalesce(source, '') AS mix_source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS mix_tokens
   FROM documents
-), leaves AS (SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens) AS have, sum(mix_tokens) * {mix.most_epochs} AS most, {case('mix_source', mix.sources)} AS weight FROM counted GROUP BY 1, 2, 3),
+), leaves AS (SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens) AS have,
+  CASE WHEN {case('mix_source', mix.sources)} > 0 AND {case('mix_lang', mix.languages)} > 0 THEN sum(mix_tokens) * {mix.most_epochs} ELSE 0 END AS most, {case('mix_source', mix.sources)} AS weight FROM counted GROUP BY 1, 2, 3),
 d0 AS (SELECT 0 AS root, mix_domain, sum(most) AS most, {case('mix_domain', mix.domains)} AS weight, (SELECT sum(have) FROM leaves) * {mix.share[0]} // {mix.share[1]} AS given FROM leaves GROUP BY mix_domain),
 d1 AS (SELECT mix_domain, budget AS given FROM {_shared('d0', 'root', 'mix_domain')}),
 l0 AS (SELECT mix_domain, mix_lang, sum(most) AS most, {case('mix_lang', mix.languages)} AS weight, any_value(given) AS given FROM leaves JOIN d1 USING (mix_domain) GROUP BY mix_domain, mix_lang),

@@ -148,7 +148,7 @@ def test_token_files(spark, docs, none):
 
 
 def test_masks_are_views_of_the_mapped_file(tmp_path):
-    writer = tokenfiles.ShardWriter(f"file://{tmp_path}", "s", "a", np.dtype(np.uint16), 16)
+    writer = tokenfiles.ShardWriter(f"file://{tmp_path}", "s", np.dtype(np.uint16), 16)
     writer.add([1, 2], [np.arange(20), np.arange(7)])
     writer.close()
     reader = tokenfiles.ShardReader(f"file://{tmp_path}/s.arrow")
@@ -532,10 +532,8 @@ def test_mixing(spark, docs, none):
         got = mixing.mix_documents(small, mix)
         assert got.columns == ["doc_id", "text", "lang", "source", "epochs", "cut", "rest", "mix_domain", "mix_lang", "mix_source", "mix_epoch"]
         found = sorted(map(tuple, got.select("doc_id", "mix_lang", "mix_source", "mix_epoch").collect()), key=key)
-        if not mix.sources:
-            assert found == oracle(mixing._oracle(mix), rows, "doc_id, mix_lang, mix_source, mix_epoch")
-        else:
-            assert all(f[2] != "src0" for f in found)
+        assert found == oracle(mixing._oracle(mix), rows, "doc_id, mix_lang, mix_source, mix_epoch")
+        assert not mix.sources or all(f[2] != "src0" for f in found)
     assert mixing.mix_documents(none).collect() == []
 
 

@@ -3,16 +3,21 @@
 Documents with one shingle set are one node. A node's MinHash coordinates stand for its tokens: a
 token is a coordinate with its value, and two sets share a sampled token with probability equal
 to their similarity. Each run samples a token of every set, which puts it into a bucket; a bucket
-above BUCKET_ROWS is split again on BRANCH tokens sampled for its path, up to DEPTH times, unless
-a child would keep over half of it: sets that alike are compared where they are. What is small,
-alike or deep enough is compared by brute force: estimates from the coordinates first, then exact
-shingle sets. Runs are repeated until a pair at the threshold is found with the target recall.
+above BUCKET_ROWS is split again on BRANCH tokens sampled for its level, unless a child would keep
+over half of it: sets that alike are compared where they are. What is small or alike is compared
+by brute force: estimates from the coordinates first, then exact shingle sets. Runs are repeated
+until a pair at the threshold is found with the target recall.
 
 Buckets with the same members are one bucket. A pair is counted in the first bucket that both
 its sets are in, so links are counted without a table of pairs; the connections within a bucket
 leave it as a tree. Large buckets are compared in pairs of blocks of BLOCK_ROWS, so no task holds
-more than two blocks. The comparisons within a group of m different texts that are all alike
-still number m * m / 2, as its links do; only their rows stay few.
+more than two blocks.
+
+Jaccard distance is a metric: sets that are within half of the distance allowed of one pivot, any
+set, are all linked with each other. Large alike buckets get a pivot, the shingles that most of
+their sets have. Their sets are measured against it exactly, and those that are close enough are
+its hub: linked by membership, counted by their number and never compared or dealt among
+themselves. Comparisons are left between the other sets of an alike bucket and all of it.
 """
 
 from __future__ import annotations
@@ -26,15 +31,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, drop_written, shingles, table, text_blocks, text_column, written
+from .common import NEAR, SHINGLE_WORDS, drop_written, own_columns, shingles, table, text_batches, text_blocks, text_column, unused, written
 from .tokenids import _U, _mix
 
 COORDINATES = 64
 BUCKET_ROWS = 1024
 BRANCH = 4
-DEPTH = 3
+#: Levels of buckets. Each splits what is too large into halves or less, so that DEPTH of them do
+#: for BUCKET_ROWS * 2 ** (DEPTH - 1) rows of one token; what is larger still is compared in blocks.
+#: Other thresholds have as many levels as there are coordinates for, LEAST_DEPTH at least.
+DEPTH = 13
+LEAST_DEPTH = 3
 TARGET_RECALL = 0.9999
 BLOCK_ROWS = 8192
+#: Rows from which an alike bucket gets a pivot, rows that it is made from, and bytes of pivots up
+#: to which they are broadcast.
+HUB_ROWS = 1024
+HUB_SAMPLE = 128
+BROADCAST_BYTES = 1 << 25
 #: Rows of a side that are compared at once, and groups up to which pairs are listed by shifts.
 SIDE_ROWS = 1024
 SMALL_GROUP = 48
@@ -48,6 +62,17 @@ _ODD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD
 _ADD = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
 
+def _runs(recall: float, threshold: float, depth: int) -> int:
+    found = threshold * (1 - (1 - threshold) ** BRANCH) ** (depth - 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - found)) if found < 1 else 1
+
+
+def depth_for(recall: float, threshold: float = NEAR) -> int:
+    """Levels of buckets: as many as leave each run and each deeper level coordinates of its own."""
+    fits = (d for d in range(DEPTH, LEAST_DEPTH, -1) if _runs(recall, threshold, d) + BRANCH * (d - 1) <= COORDINATES)
+    return next(fits, LEAST_DEPTH)
+
+
 def runs_for(recall: float, threshold: float = NEAR) -> int:
     """Runs after which a pair at the threshold is missed with probability 1 - recall at most,
     wherever buckets are split: a run keeps the pair if it shares the root's token and at each
@@ -55,8 +80,7 @@ def runs_for(recall: float, threshold: float = NEAR) -> int:
     more than COORDINATES are needed."""
     if not (0 < threshold <= 1 and 0 < recall < 1):
         raise ValueError(f"no threshold above 0 up to 1 and recall between 0 and 1: {threshold}, {recall}")
-    found = threshold * (1 - (1 - threshold) ** BRANCH) ** (DEPTH - 1)
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - found)) if found < 1 else 1
+    runs = _runs(recall, threshold, depth_for(recall, threshold))
     if runs > COORDINATES:
         raise ValueError(f"a recall of {recall} at a threshold of {threshold} takes {runs} runs; there are {COORDINATES} coordinates")
     return runs
@@ -107,7 +131,7 @@ def set_ids(sets: list[np.ndarray]) -> list[bytes]:
 
 def _sets(with_shingles: bool, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches):
             texts = batch.column(1).to_pylist()
             if not texts:
                 continue
@@ -124,53 +148,138 @@ def _sets(with_shingles: bool, words: int):
     return run
 
 
-def leaf_buckets(nodes: DataFrame, runs: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(set_id, col, bucket, size): the buckets that are compared by brute force. col numbers the
-    path of coordinates, so that sets share a bucket of a col or none."""
-    key = ["col", "bucket"]
-    level = nodes.select("set_id", F.posexplode(F.slice("sig", 1, runs)).alias("col", "_v")).select("set_id", "col", F.xxhash64("col", "_v").alias("bucket"))
+def leaf_buckets(nodes: DataFrame, runs: int, bucket_rows: int = BUCKET_ROWS, depth: int = DEPTH) -> DataFrame:
+    """(set_id, col, bucket, size, alike), written: the buckets that are compared by brute force.
+    col numbers the path of coordinates, so that sets share a bucket of a col or none; alike: of
+    over bucket_rows rows, and not split."""
+    key, sums = ["col", "bucket"], ["size", "_x", "_y"]
+    temporary: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        temporary.append(written(df, name))
+        return temporary[-1]
 
     def sized(rows: DataFrame, *more: str) -> DataFrame:
         members = (F.expr("bit_xor(xxhash64(set_id))").alias("_x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("_y"))
-        return written(rows.groupBy(*key, *more).agg(F.count("*").alias("size"), *members).where("size > 1"), "buckets")
+        return kept(rows.groupBy(*key, *more).agg(F.count("*").alias("size"), *members).where("size > 1"), "buckets")
 
+    level = nodes.select("set_id", F.posexplode(F.slice("sig", 1, runs)).alias("col", "_v")).select("set_id", "col", F.xxhash64("col", "_v").alias("bucket"))
     sizes, levels, leaves = sized(level), [level], []
     base, width = 0, runs
-    for depth in range(2, DEPTH + 1):
+    leaf = lambda rows, alike: leaves.append(rows.select(*key, *sums, F.lit(alike).alias("alike")))
+    for at in range(depth - 1):
         big = sizes.where(F.col("size") > bucket_rows)
-        leaves.append(sizes.where(F.col("size") <= bucket_rows))
+        leaf(sizes.where(F.col("size") <= bucket_rows), False)
         if not big.limit(1).count():
             break
         parents = level.join(big.select(*key), key).join(nodes.select("set_id", "sig"), "set_id")
-        own = (F.col("col") - base) * BRANCH + F.col("_j")
-        coordinate = (F.pmod(runs + own + (depth - 2) * 29, F.lit(COORDINATES)) + 1).cast("int")
+        coordinate = (F.pmod(F.col("_j") + runs + BRANCH * at, F.lit(COORDINATES)) + 1).cast("int")
         children = parents.withColumn("_j", F.explode(F.array(*map(F.lit, range(BRANCH)))))
-        children = children.select("set_id", F.col("col").alias("_col"), F.col("bucket").alias("_bucket"), (own + base + width).cast("int").alias("col"), F.xxhash64("bucket", coordinate, F.element_at("sig", coordinate)).alias("bucket"))
-        children = written(children, "level")
+        own = ((F.col("col") - base) * BRANCH + F.col("_j") + base + width).cast("int")
+        children = children.select("set_id", F.col("col").alias("_col"), F.col("bucket").alias("_bucket"), own.alias("col"), F.xxhash64("bucket", coordinate, F.element_at("sig", coordinate)).alias("bucket"))
+        children = kept(children, "level")
         found = sized(children, "_col", "_bucket")
         alike = found.groupBy("_col", "_bucket").agg(F.max("size").alias("_most")).withColumnsRenamed({"_col": "col", "_bucket": "bucket"})
-        alike = big.join(alike, key).where(F.col("_most") * 2 > F.col("size")).select(*big.columns)
-        alike = written(alike, "alike")
-        leaves.append(alike)
-        sizes = found.join(alike.select(F.col("col").alias("_col"), F.col("bucket").alias("_bucket")), ["_col", "_bucket"], "left_anti").select(*big.columns)
+        alike = kept(big.join(alike, key).where(F.col("_most") * 2 > F.col("size")).select(*key, *sums), "alike")
+        leaf(alike, True)
+        sizes = found.join(alike.select(F.col("col").alias("_col"), F.col("bucket").alias("_bucket")), ["_col", "_bucket"], "left_anti").select(*key, *sums)
         level = children.select("set_id", *key)
         levels.append(level)
         base, width = base + width, width * BRANCH
     else:
-        leaves.append(sizes)
+        leaf(sizes.where(F.col("size") <= bucket_rows), False)
+        leaf(sizes.where(F.col("size") > bucket_rows), True)
     every = leaves[0]
-    for leaf in leaves[1:]:
-        every = every.unionByName(leaf)
+    for more in leaves[1:]:
+        every = every.unionByName(more)
     # of buckets with the same members the first stays
-    kept = every.groupBy("size", "_x", "_y").agg(F.min(F.struct(*key)).alias("_b")).select("size", "_b.*")
-    kept = written(kept, "kept")
+    every = every.groupBy(*sums).agg(F.min(F.struct(*key)).alias("_b"), F.max("alike").alias("alike")).select("size", "alike", "_b.*")
+    every = kept(every, "kept")
     out = None
     for level in levels:
-        part = level.join(kept, key).select("set_id", *key, "size")
+        part = level.join(every, key).select("set_id", *key, "size", "alike")
         out = part if out is None else out.unionByName(part)
+    out = written(out, "members")
+    for df in temporary:
+        drop_written(df)
     return out
 
 
+def _shingles_of(rows: DataFrame, nodes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(set_id, shingles) of the texts of the least documents of nodes ``ids``, and of texts that
+    share their doc_id."""
+    docs = written(ids.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id").select("doc_id").distinct(), "again")
+    if docs.count() <= BROADCAST_IDS:
+        docs = F.broadcast(docs)
+    texts = rows.join(docs, rows["doc_id"].eqNullSafe(docs["doc_id"]), "left_semi").mapInArrow(_sets(True, words), "set_id binary, shingles binary")
+    return texts.dropDuplicates(["set_id"])
+
+
+def _pivot(group: pa.Table) -> pa.Table:
+    """The shingles that more than half of the sets have, of a sample of an alike bucket."""
+    found, n = np.unique(np.frombuffer(b"".join(group.column("shingles").to_pylist()), np.uint64), return_counts=True)
+    pivot = found[n * 2 > group.num_rows]
+    hub = np.frombuffer(set_ids([pivot])[0], np.int64)[0] if len(pivot) else 0
+    return pa.table({"near": group.column("near").slice(0, 1), "hub": pa.array([hub], pa.int64()), "pivot": pa.array([pivot.tobytes()], pa.binary())})
+
+
+def _close(threshold: float):
+    """The sets (set_id, shingles, hub, pivot) within half of the distance allowed of their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(1), batch.column(3))):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                close[i] = 2 * (len(a) + len(b) - 2 * both) <= (1 - threshold) * (len(a) + len(b) - both)
+            yield batch.select([0, 2]).filter(pa.array(close))
+
+    return run
+
+
+def hubs(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float, words: int, hub_rows: int = HUB_ROWS) -> DataFrame | None:
+    """(set_id, hub), written: sets of alike buckets of over hub_rows rows that are close to their
+    pivot, so that all sets of one hub are linked; None if no bucket is that large. Equal pivots
+    are one hub. What a pivot is made from, a bounded sample, decides how many sets are close to
+    it, and never what is linked."""
+    alike = members.where(F.col("alike") & (F.col("size") > hub_rows)).select("set_id", "size", F.col("bucket").alias("near"))
+    inside = written(alike.groupBy("set_id").agg(F.max(F.struct("size", "near")).alias("_b")).select("set_id", "_b.near"), "dense")
+    if not inside.limit(1).count():
+        drop_written(inside)
+        return None
+    dense = written(_shingles_of(rows, nodes, inside, words).join(inside, "set_id"), "dense")
+    sample = alike.where(F.pmod(F.xxhash64("set_id"), F.greatest(F.floor(F.col("size") / HUB_SAMPLE), F.lit(1))) == 0)
+    sample = sample.join(inside.select("near").distinct(), "near", "left_semi").join(dense.select("set_id", "shingles"), "set_id").select("near", "shingles")
+    pivots = written(sample.groupBy("near").applyInArrow(_pivot, "near long, hub long, pivot binary"), "pivots")
+    size = pivots.agg(F.sum(F.length("pivot"))).first()[0] or 0
+    beside = dense.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "near")
+    out = written(beside.select("set_id", "shingles", "hub", "pivot").mapInArrow(_close(threshold), "set_id binary, hub long"), "hubs")
+    for df in (inside, dense, pivots):
+        drop_written(df)
+    return out
+
+
+def _dealt(members: DataFrame, hub: DataFrame | None, block_rows: int) -> DataFrame:
+    """(set_id, col, bucket, block, bi, bj): members once for each pair of blocks (bi, bj) that
+    theirs is compared in. A bucket of more than block_rows has blocks of sets of its main hub
+    behind those of the others; two of the former are never compared."""
+    if hub is not None:
+        big = members.where(F.col("size") > block_rows).join(hub, "set_id").groupBy("bucket", "hub").agg(F.count("*").alias("_n"))
+        main = big.groupBy("bucket").agg(F.max(F.struct("_n", "hub")).alias("_m")).select("bucket", F.col("_m.hub").alias("_main"), F.col("_m._n").alias("_core"))
+        members = members.join(hub, "set_id", "left").join(main, "bucket", "left")
+        members = members.withColumn("_core", F.coalesce("_core", F.lit(0))).withColumn("_is_core", F.coalesce(F.col("hub") == F.col("_main"), F.lit(False)))
+    else:
+        members = members.withColumns({"_core": F.lit(0), "_is_core": F.lit(False)})
+    of = lambda n: F.ceil(n / block_rows).cast("int")
+    members = members.withColumns({"_rest_blocks": of(F.col("size") - F.col("_core")), "_core_blocks": of(F.col("_core"))})
+    at = F.xxhash64("set_id", "bucket")
+    block = F.when(F.col("_is_core"), F.col("_rest_blocks") + F.pmod(at, F.col("_core_blocks"))).otherwise(F.pmod(at, F.col("_rest_blocks"))).cast("int")
+    others = F.when(F.col("_is_core"), F.col("_rest_blocks")).otherwise(F.col("_rest_blocks") + F.col("_core_blocks"))
+    out = members.where(others > 0).withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), others - 1)))
+    return out.select("set_id", "col", "bucket", "block", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups (rows sorted by bucket, bi, bj) with the first row of each group and
     the end."""
@@ -220,12 +329,17 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
     own = np.searchsorted(used, t.column("col").to_numpy())
     across = t.column("bi").to_numpy() != t.column("bj").to_numpy()
     block = t.column("block").to_numpy()
+    # sets of one hub are linked already; a set of none has a number of its own
+    hub = np.arange(n) + n
+    if "hub" in t.column_names:
+        some = np.flatnonzero(t.column("hub").is_valid().to_numpy())
+        hub[some] = np.unique(t.column("hub").take(pa.array(some)).to_numpy(), return_inverse=True)[1]
     small = sizes[group] <= SMALL_GROUP
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for shift in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
         i = np.flatnonzero((group[shift:] == group[:-shift]) & small[:-shift])
         j = i + shift
-        keep = ~across[i] | (block[i] != block[j])
+        keep = (~across[i] | (block[i] != block[j])) & (hub[i] != hub[j])
         i, j = i[keep], j[keep]
         for a in range(0, len(i), 4096):
             x, y = i[a : a + 4096], j[a : a + 4096]
@@ -239,14 +353,17 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
     for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
         rows = np.arange(starts[g], starts[g + 1])
         col = own[rows[0]]
-        rows = rows[np.lexsort([place[rows, c] for c in range(col, -1, -1)] + [block[rows]])]
+        rows = rows[np.lexsort([place[rows, c] for c in range(col, -1, -1)] + [hub[rows], block[rows]])]
         sides = [own_block[a : a + SIDE_ROWS] for k in np.unique(block[rows]) for own_block in [rows[block[rows] == k]] for a in range(0, len(own_block), SIDE_ROWS)]
         for p, x in enumerate(sides):
             for q in range(p, len(sides)):
                 y = sides[q]
                 if across[x[0]] and block[x[0]] == block[y[0]]:
                     continue
-                open_ = np.ones((len(x), len(y)), bool) if p != q else np.triu(np.ones((len(x), len(x)), bool), 1)
+                if hub[x[0]] == hub[x[-1]] == hub[y[0]] == hub[y[-1]]:  # rows of a block are sorted by hub
+                    continue
+                open_ = hub[x][:, None] != hub[y][None, :]
+                open_ &= True if p != q else np.triu(np.ones((len(x), len(x)), bool), 1)
                 for c in range(col):
                     open_ &= place[x, c][:, None] != place[y, c][None, :]
                 if not open_.any():
@@ -370,7 +487,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
-def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucket_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucket_rows: int, block_rows: int, hub_rows: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, row_hash, set_id) of each row; (set_id, class_id, first, n_links) of each set that
     several rows have or that is linked). row_hash is xxhash64 of the text; first is the least row
     of the class, null doc_ids last."""
@@ -378,25 +495,24 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("row_hash"))
     found = written(rows.mapInArrow(_sets(False, words), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
     nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min(_place()).alias("first"), F.min("sig").alias("sig")), "nodes")
-    members = written(leaf_buckets(nodes, runs, bucket_rows), "members")
+    members = leaf_buckets(nodes, runs, bucket_rows, depth_for(recall, threshold))
+    hub = hubs(rows, nodes, members, threshold, words, hub_rows)
     lists = members.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("col", "bucket"))).alias("_l"))
-    lists = lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets"))
-    # a bucket of more than block_rows is compared in pairs of blocks
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("set_id", "bucket"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("set_id", "col", "bucket", "block", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
-    full = dealt.join(nodes.select("set_id", "weight", "sig").join(lists, "set_id"), "set_id")
+    lists = nodes.select("set_id", "weight", "sig").join(lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets")), "set_id")
+    lists = lists.withColumn("hub", F.lit(None).cast("long")) if hub is None else lists.join(hub, "set_id", "left")
+    full = _dealt(members, hub, block_rows).join(lists, "set_id")
     key = ["bucket", "bi", "bj"]
     needed = full.repartition(*key).sortWithinPartitions(*key, "set_id").mapInArrow(_needed(estimate), "bucket long, bi int, bj int, set_id binary")
     needed = written(needed, "needed")
-    again = needed.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id").select("doc_id").distinct()
-    again = written(again, "again")
-    if again.count() <= BROADCAST_IDS:
-        again = F.broadcast(again)
-    texts = rows.join(again, rows["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").mapInArrow(_sets(True, words), "set_id binary, shingles binary")
-    texts = texts.dropDuplicates(["set_id"])
+    texts = _shingles_of(rows, nodes, needed, words)
     compared = full.join(needed, [*key, "set_id"]).join(texts, "set_id").repartition(*key).sortWithinPartitions(*key, "set_id")
     links = written(compared.mapInArrow(_verified(estimate, threshold), "set_id binary, links long, root binary"), "links")
+    for df in (members, needed):
+        drop_written(df)
+    if hub is not None:
+        inside = hub.join(nodes.select("set_id", "weight"), "set_id")
+        sums = inside.groupBy("hub").agg(F.sum("weight").alias("_all"), F.min("set_id").alias("root"))
+        links = written(links.unionByName(inside.join(sums, "hub").where("root <> set_id or _all > weight").select("set_id", (F.col("_all") - F.col("weight")).alias("links"), "root")), "links")
     labels = connected(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = nodes.select("set_id", "weight", F.col("doc_id").alias("_least"), "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
@@ -406,7 +522,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     return found.select("doc_id", "row_hash", "set_id"), classes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(doc_id, class_id, n_links) of each row of docs.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is at
@@ -417,23 +533,23 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     class of its links, null if it has none. An empty table gives no rows; other columns are not
     read. Raises ValueError for a recall that takes more runs than there are coordinates.
     """
-    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows)
+    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows, hub_rows)
     out = found.join(classes, "set_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one_of_each(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, hub_rows: int = HUB_ROWS) -> DataFrame:
     """docs with one row of each class, that of the least doc_id (null last, ties by hash of the
     text), and every row that is in no class with another. A row is told by doc_id and text: rows
     that share a doc_id, or have none, stay if their texts are not alike, and repeated rows count
     once."""
-    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows)
+    found, classes = _classes(docs, threshold, words, recall, bucket_rows, block_rows, hub_rows)
     rows = found.join(classes.select("set_id", "first"), "set_id", "left").where(F.col("first").isNull() | (F.col("first") == _place()))
-    key = lambda doc, text: {"_kept_null": doc.isNull(), "_kept_doc": F.coalesce(doc, F.lit(0)), "_kept_text": text}
-    names = [*key(F.lit(0), F.lit(0))]
+    names = unused(docs, "kept_null", "kept_doc", "kept_text")
+    key = lambda doc, text: dict(zip(names, (doc.isNull(), F.coalesce(doc, F.lit(0)), text)))
     kept = rows.withColumns(key(F.col("doc_id"), F.col("row_hash"))).select(*names).distinct()
     keyed = docs.withColumns(key(F.col("doc_id").cast("long"), F.xxhash64(text_column(docs))))
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*own_columns(docs))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

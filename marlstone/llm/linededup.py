@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column, written
+from .common import aside, own_columns, place_of, table, text_batches, text_column, unused, written
 
 LEAST_CHARS = 10
 #: Line rows that leave a Python worker at once.
@@ -41,7 +41,7 @@ def _line_rows(least_chars: int):
         return pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in kinds.items()], [*kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             cols: dict[str, list] = {k: [] for k in kinds}
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 places: dict[bytes, list[int]] = {}
@@ -153,14 +153,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The rows of docs with text cut to its kept lines, and n_lines and n_dropped behind. A null
     text stays null. The new columns replace old ones of these names."""
     new = ("n_lines", "n_dropped")
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
-    bits = bitmaps.select(F.col("doc_id").alias("_bits_doc"), F.col("row_hash").alias("_bits_row"), *new, F.col("keep").alias("_bits_keep"))
-    joined = kept.join(bits, F.col("doc_id").cast("long").eqNullSafe(F.col("_bits_doc")) & (F.xxhash64(text_column(kept)) == F.col("_bits_row")))
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept.columns], *new, "_bits_keep")
-    at = kept.columns.index("text")
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in new])
+    doc, row, keep = unused(kept, "bits_doc", "bits_row", "bits_keep")
+    bits = bitmaps.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(row), *new, F.col("keep").alias(keep))
+    joined = kept.join(bits, kept["doc_id"].cast("long").eqNullSafe(bits[doc]) & (F.xxhash64(text_column(kept)) == bits[row]))
+    joined = joined.select(*own_columns(kept), *new, keep)
+    at = place_of(kept, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, at):
             *columns, n_lines, n_dropped, keep = batch.columns
             texts = columns[at].to_pylist()
             for i, (n, lost, bits) in enumerate(zip(n_lines.to_pylist(), n_dropped.to_pylist(), keep.to_pylist())):
@@ -176,10 +177,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines cut from the texts; the columns of docs, n_chars counted anew."""
+    named = docs.columns
+    docs = aside(docs, ("n_lines", "n_dropped"))
     out = apply_bitmaps(docs, line_bitmaps(docs))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    chars = [F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*chars).toDF(*named)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

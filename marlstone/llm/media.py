@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column
+from .common import table, text_batches, text_column
 
 UNIT = 64
 RATE = 8000
@@ -105,7 +105,7 @@ def media_features(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = MEDIA_SCHEMA.replace(",", "").split()[::2] + ["media"] * with_media
-        for batch in batches:
+        for batch in text_batches(batches):
             rows: dict[str, list] = {x: [] for x in fields}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode("utf-8")
@@ -124,4 +124,4 @@ def media_features(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents")).drop("pair_times", "pair_codes")
+    return media_features(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def got(frame):
     return [r[0] for r in frame.select("v").collect()]
 
 
+# Inputs and results that pin the meaning of filters and windows.
 TENS = [10, 20, 30, 40]
 EIGHT = [10, 20, 30, 40, 50, 60, 70, 80]
 MIXED = [10, 10, 10, 10, 50, 60, 70, 80]
@@ -99,6 +101,73 @@ def test_floats_by_bits(spark):
     assert str(got(z.none_of("v", [-0.0]))) == "[0.0, 1.0]"
 
 
+def test_floats_do_not_depend_on_the_operands_type(spark):
+    f = column(spark, [1.5, float("nan"), 9.0, -0.0, 0.0], "double")
+    assert got(f.range("v", 5)) == got(f.range("v", 5.0)) == [9.0]
+    assert str(got(f.eq("v", 0))) == str(got(f.one_of("v", [0]))) == "[0.0]"
+    assert str(got(f.ne("v", 0))) == "[1.5, nan, 9.0, -0.0]"
+    assert str(got(f.none_of("v", [0, 9]))) == "[1.5, nan, -0.0]"
+    many = [0, 9.0, float("nan"), *range(1000, 1600)]
+    assert str(got(f.one_of_set("v", many))) == "[nan, 9.0, 0.0]" and str(got(f.none_of_set("v", many))) == "[1.5, -0.0]"
+    assert got(f.range("v", float("nan"))) == got(f.range("v", None, float("nan"))) == []
+    single = column(spark, [0.1, 0.2, float("nan")], "float")
+    assert len(got(single.eq("v", 0.1))) == 1 and len(got(single.range("v", 0.1, 0.2))) == 1 and len(got(single.range("v", 0))) == 2
+
+
+def test_handles_are_gated_by_type(spark):
+    rows = spark.createDataFrame([(0, 3, "x", True, 1.0)], "__ord long, i int, s string, b boolean, d double")
+    f = Frame(rows, "t", "__ord", dense=True)
+    i, s, b, d = (f.column(x) for x in "isbd")
+    wrong = [lambda: i.eq("3"), lambda: i.eq(3.5), lambda: i.eq(True), lambda: i.range(None, 3.5), lambda: i.one_of([3, "3"]), lambda: i.none_of([3.5]), lambda: s.eq(3), lambda: s.range(1), lambda: b.eq(1), lambda: d.eq("1"), lambda: d.ne(True)]
+    wrong += [lambda: f.eq("i", 3.5), lambda: f.one_of("i", [3, 3.5]), lambda: f.range("i", None, "x"), lambda: f.one_of_set("i", [*range(600), "x"]), lambda: f.filter(lambda x: x > 1)]
+    for call in wrong:
+        with pytest.raises(TypeMismatch):
+            call()
+    assert f.where(i.eq(3) & s.eq("x") & b.mask() & d.eq(1)).df.count() == 1
+
+
+def test_combinations_give_back_their_parts(spark):
+    f = column(spark, TENS)
+    both = f.column("v").range(20) & f.column("v").ne(30)
+    assert got(f.where(both)) == [20, 40]
+    assert [got(f.where(x)) for x in both.unpack()] == [[20, 30, 40], [10, 20, 40]]
+    with pytest.raises(TypeMismatch):
+        f.column("v").eq(1).unpack()
+    assert [r.v for r in f.column("v").get(1, 3).frame.collect()] == [20, 30] and got(f.get(2)) == [30, 40] and got(f.get(3, 1)) == []
+
+
+def test_joins_of_integers_of_different_widths(spark):
+    left, right = column(spark, [1, 2, 300], "long"), column(spark, [2, 300], "short")
+    assert got(left.semi_join("v", right, "v")) == [2, 300] and got(left.anti_join("v", right, "v")) == [1]
+    assert got(left.semi_join("v", column(spark, [Decimal(300)], "decimal(20,0)"), "v")) == [300]
+    with pytest.raises(TypeMismatch):
+        left.semi_join("v", column(spark, ["2"], "string"), "v")
+    with pytest.raises(NotFound):
+        left.semi_join("v", right, "w")
+
+
+@pytest.mark.parametrize("orders", [range(0, 900, 3), [1 << 40, 5, -7, 1 << 62, -(1 << 62), (1 << 40) + 1, 1 << 17, 3 << 33]])
+@pytest.mark.parametrize("span", [None, 1 << 20])
+def test_positions_of_a_sparse_order(spark, orders, span, monkeypatch):
+    from marlstone.operators import frame as module
+
+    monkeypatch.setattr(module, "LEAST_ROWS", 0)
+    orders = [x for x in orders if span is None or 0 <= x < span]
+    rows = spark.createDataFrame([(o, i) for i, o in enumerate(orders)], "__ord long, v long").repartition(3)
+    want = [i for _, i in sorted((o, i) for i, o in enumerate(orders))]
+    f = Frame(rows, "t", "__ord", span=span)
+    assert got(f.skip(2)) == want[2:] and got(f.skip(1).take(4)) == want[1:5] and got(f.stride(3)) == want[::3] and got(f.limit(3).offset(2)) == want[2:5]
+    assert {r.v: r["index"] for r in f.first_index(["v"]).collect()} == {v: i for i, v in enumerate(want)}
+
+
+def test_positions_take_no_window_over_all_rows(spark):
+    f = column(spark, list(range(50))).range("v", 3)
+    plan = f.stride(2).df._jdf.queryExecution().toString()
+    assert plan.count("Exchange SinglePartition") == 1  # of the ranges of ranges alone
+    short = f.skip(5).take(3).df._jdf.queryExecution().toString()
+    assert "Window" not in short and "Join" not in short
+
+
 def test_rows_of_several_columns(spark):
     rows = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(zip([1, 1, 2, 2, 3, 3], [4, 4, 5, 5, 6, 6], [7, 7, 8, 8, 9, 9]))], "__ord long, a int, b int, c int")
     f = Frame(rows, "t", "__ord", dense=True)

@@ -1,10 +1,11 @@
-"""Paths for what is written and read again within a job."""
+"""Paths: of what is written and read again within a job, and of files that Arrow opens."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import SparkSession
 
 _OWN: dict[str, str] = {}
@@ -31,3 +32,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+#: Names that Hadoop's file systems have for stores that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def arrow_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The Arrow file system of a path as Spark has it (file, hdfs, s3a, abfss, gs), and the path
+    there. Raises pyarrow.ArrowInvalid for a scheme that Arrow does not know."""
+    scheme, mark, rest = uri.partition(":")
+    if scheme == "file" and not rest.startswith("//"):
+        rest = f"//{rest}"
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")

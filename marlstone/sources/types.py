@@ -117,6 +117,17 @@ def stored(t: Type, value):
     return Decimal(value) if isinstance(value, int) and isinstance(t.spark, T.DecimalType) else value
 
 
+def restored(t: Type, value):
+    """What Spark gives for a stored value, as the Python value of the type."""
+    if value is None:
+        return None
+    if isinstance(t, Opt):
+        return restored(t.item, value)
+    if isinstance(t, Seq):
+        return [restored(t.item, x) for x in value]
+    return int(value) if isinstance(value, Decimal) else value
+
+
 def to_json(t: Type) -> object:
     kind = type(t).__name__
     return {"opt": to_json(t.item)} if kind == "Opt" else {"seq": to_json(t.item)} if kind == "Seq" else {"nonzero": t.name} if kind == "NonZero" else t.name

@@ -122,6 +122,129 @@ def test_commits(spark, archive, tmp_path):
     assert values(Archive.rebuild(spark, archive.path), "t", "v") == [4]
 
 
+def test_a_losing_writer_leaves_the_winners_rows(spark, archive, tmp_path):
+    archive.schema("t", {"v": Int("i64")})
+    winner, loser = Archive.open(spark, archive.path), Archive.open(spark, archive.path)
+    winner.write(winner.schema("t", {"v": Int("i64")}).extend([{"v": 1}, {"v": 2}]))
+    with pytest.raises(Collision):
+        loser.write(loser.schema("t", {"v": Int("i64")}).extend([{"v": x} for x in (100, 200, 300)]))
+    again = Archive.open(spark, archive.path)
+    assert values(again, "t", "v") == values(winner, "t", "v") == [1, 2] and again.count("t") == 2
+    assert len([x for x in (tmp_path / "a" / "data" / "t").iterdir() if x.is_dir()]) == 1
+    loser, one, two = Archive.open(spark, archive.path), Binary("one").push(b"first"), Binary("two").push(b"other bytes")
+    assert again.write(one) == 5
+    with pytest.raises(Collision):
+        loser.write(two)
+    assert Archive.open(spark, archive.path).binary("one") == b"first"
+    retried = Archive.open(spark, archive.path)
+    assert retried.write(two) == 11 and retried.binary("one") == b"first"
+
+
+def test_many_writers_publish_one_after_another(spark, archive):
+    """Threads that race for each manifest and try again: every row once, none overwritten."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    archive.schema("t", {"v": Int("i64")})
+
+    def work(k):
+        for v in range(3):
+            while True:
+                try:
+                    mine = Archive.open(spark, archive.path)
+                    mine.write(mine.schema("t", {"v": Int("i64")}).push({"v": 10 * k + v}))
+                    break
+                except Collision:
+                    continue
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    found = values(Archive.open(spark, archive.path), "t", "v")
+    assert sorted(found) == sorted(10 * k + v for k in range(4) for v in range(3))
+    assert all([x for x in found if x // 10 == k] == [10 * k + v for v in range(3)] for k in range(4))
+
+
+def damage(tmp_path, name):
+    file = tmp_path / "a" / name
+    file.write_text(file.read_text()[:-3])
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def test_rebuild_takes_in_what_was_published_only(spark, archive, tmp_path):
+    stage = archive.schema("t", {"v": Int("i64")})
+    archive.write(stage.push({"v": 1}))
+    lost = spark.createDataFrame([(9, 0)], "v long, __place long")
+    lost.write.parquet(f"{archive.path}/data/t/{'0' * 32}")  # of a writer that never published
+    archive.write(stage.push({"v": 2}))
+    archive.write(Binary("b").push(b"x"))
+    archive.set_properties(owner="y")
+    archive.schema("u", {"w": STRING})
+    for n in range(2, 7):
+        damage(tmp_path, f"manifest/{n:08d}.json")
+    with pytest.raises(Corrupt):
+        Archive.open(spark, archive.path)
+    for again in (Archive.rebuild(spark, archive.path), Archive.open(spark, archive.path)):
+        assert values(again, "t", "v") == [1, 2] and again.binary("b") == b"x"
+        assert again.properties() == {"owner": "y"} and again.names() == ["t", "u"]
+    damage(tmp_path, "manifest/00000007.json")
+    damage(tmp_path, "commits/00000003.json")
+    assert values(Archive.rebuild(spark, archive.path), "t", "v") == [1, 2]
+
+
+def files_read(frame):
+    return {x.rsplit("/", 1)[0] for x in frame.df.inputFiles()}
+
+
+def test_windows_and_filters_read_the_files_they_need(spark, archive):
+    archive.schema("t", {"v": Int("i64"), "s": Opt(item=STRING), "f": F64})
+    for k in range(4):
+        rows = spark.range(100 * k, 100 * k + 100, 1, 2).selectExpr("id as v", "concat('s', id div 100) as s", f"if({k} = 2, double('NaN'), id / 2d) as f")
+        archive.write_frame("t", rows, ["v"])
+    t = archive.query("t")
+    window = t.skip(350).take(5)
+    assert [r.v for r in window.collect()] == list(range(350, 355)) and len(window.df.inputFiles()) == 1
+    plan = window.df._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(__place" in plan and "LessThan(__place" in plan
+    assert [r.v for r in t.skip(95).take(10).collect()] == list(range(95, 105)) and len(files_read(t.skip(95).take(10))) == 2
+    assert [r.v for r in t.skip(95).take(300).skip(4).take(3).collect()] == [99, 100, 101]
+    assert [r.v for r in t.skip(95).stride(50).collect()] == list(range(95, 400, 50))
+    assert [r.v for r in t.skip(120).range("v", 0, 200).skip(2).take(2).collect()] == [122, 123]
+    assert t.skip(400).collect() == [] and t.take(0).collect() == [] and t.skip(390).count() == 10
+    for frame, segments, n in (
+        (t.range("v", 120, 130), 1, 10), (t.eq("v", 399), 1, 1), (t.eq("v", 1000), 0, 0), (t.one_of("v", [5, 305]), 2, 2), (t.eq("s", "s2"), 1, 100),
+        (t.range("s", "s1", "s3"), 2, 200), (t.range("f", 60), 2, 180), (t.eq("f", float("nan")), 4, 100), (t.range("v", 90, 110).eq("s", "s1"), 1, 10), (t.skip(150).range("v", 0, 160), 1, 10),
+    ):
+        assert (len(files_read(frame)), frame.df.count()) == (segments, n)
+    assert {r.v: r["index"] for r in t.skip(398).first_index(["v"]).collect()} == {398: 0, 399: 1}
+
+
+def test_ordinals_of_many_files(spark, archive, monkeypatch):
+    from marlstone.sources import archive as module
+
+    monkeypatch.setattr(module, "IN_EXPRESSION", 1)
+    archive.schema("t", {"v": Int("i64")})
+    for k in range(2):
+        archive.write_frame("t", spark.range(10 * k, 10 * k + 10, 1, 3).selectExpr("id as v"), ["v"])
+    f = archive.query("t")
+    assert sorted((r.v, r.p) for r in f.df_with_order.select("v", f.df_with_order[f.order].alias("p")).collect()) == [(i, i) for i in range(20)]
+
+
+def test_records_are_read_as_records(archive):
+    archive.write(archive.schema("reading", Reading).extend([Reading(1, 21.5), Reading(2, 18.0)]))
+    assert list(archive.query("reading").range("temperature", 20).records(Reading)) == [Reading(1, 21.5)]
+
+    @dataclass
+    class Wrong:
+        sensor: int
+
+    @dataclass
+    class Part:
+        temperature: float
+
+    assert list(archive.query("reading").records(Part)) == [Part(21.5), Part(18.0)]
+    with pytest.raises(TypeMismatch):
+        list(archive.query("reading").records(Wrong))
+
+
 def test_get_or_insert(spark, archive):
     stage = archive.schema("words", {"w": STRING})
     archive.write(stage.extend([{"w": x} for x in "abab"]))
@@ -139,5 +262,8 @@ def test_follow(spark, archive):
     q.processAllAvailable()
     archive.write(archive.schema("t", {"v": Int("i64")}).push({"v": 3}))
     q.processAllAvailable()
+    spark.createDataFrame([(9, 0)], "v long, __place long").write.parquet(f"{archive.path}/data/t/{'0' * 32}")  # never published
+    archive.set_properties(owner="x")
+    q.processAllAvailable()
     q.stop()
     assert sorted(r.v for r in spark.sql("select v from followed").collect()) == [1, 2, 3]

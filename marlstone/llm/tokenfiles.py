@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import fresh_dir
+from ..scratch import arrow_fs, fresh_dir
 from .common import table, text_batches, text_column
 from .tokenids import PieceCache, load_tokenizer
 
@@ -40,16 +40,6 @@ class Shard:
     start: int
 
 
-#: Names that Hadoop's file systems have for stores that Arrow knows by another one.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
-
-
-def _open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The Arrow file system of a path as Spark has it, and the path there."""
-    scheme, mark, rest = uri.partition(":")
-    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
-
-
 def id_type(largest: int) -> np.dtype:
     """The narrowest unsigned type of 16 or 32 bits that holds all ids."""
     if not 0 <= largest < 1 << 32:
@@ -61,7 +51,7 @@ class ShardWriter:
     """Writes one shard under a name that no other writer has; it is whole after :meth:`close`."""
 
     def __init__(self, uri: str, name: str, dtype: np.dtype, sequence: int = SEQUENCE):
-        self.fs, folder = _open_fs(uri)
+        self.fs, folder = arrow_fs(uri)
         self.fs.create_dir(folder, recursive=True)
         self.dtype, self.sequence = dtype, sequence
         kind = pa.from_numpy_dtype(dtype)
@@ -112,7 +102,7 @@ class ShardReader:
     """Random access to a shard's sequences and documents; local files are mapped."""
 
     def __init__(self, path: str):
-        fs, at = _open_fs(path)
+        fs, at = arrow_fs(path)
         local = isinstance(fs, pa.fs.LocalFileSystem)
         self.file, self.docs = (pa.ipc.open_file(pa.memory_map(x) if local else fs.open_input_file(x)) for x in (at, at.removesuffix(".arrow") + ".docs.arrow"))
         self.sequence = self.file.schema.field("ids").type.list_size
@@ -163,8 +153,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [f"{out_dir}/{name}.arrow"], "docs": [out.docs], "ids": [out.ids]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("_h"))
-    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     found = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, path string, docs long, ids long").collect())  # a row for each shard
     shards, start = [], 0
     for _, path, n_docs, ids in found:
@@ -177,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
 
 def _remove_others(out_dir: str, shards: list[Shard]) -> None:
     """Files of attempts that were lost or ran twice."""
-    fs, folder = _open_fs(out_dir)
+    fs, folder = arrow_fs(out_dir)
     mine = {x.path.rsplit("/", 1)[1].removesuffix(".arrow") for x in shards}
     for f in fs.get_file_info(pa.fs.FileSelector(folder)):
         if f.base_name.startswith("shard-") and f.base_name.split(".", 1)[0] not in mine:

@@ -45,10 +45,11 @@ def _letters() -> np.ndarray:
 
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(bucket at each place for each order, BUCKETS where there is no subword; first place of
-    each text; number of letters of each text)."""
-    lowered = [x.lower() for x in texts]
-    sizes = np.fromiter((len(x) + 1 for x in lowered), np.int64, len(lowered))
-    code = np.frombuffer(("\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    each text; number of letters of each text). Every text has an edge of its own at both ends, so
+    no subword runs over two texts."""
+    lowered = [f"\0{x.lower()}\0" for x in texts]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     code = np.where(letter, code, 0).astype(np.uint32)
     first = np.cumsum(sizes) - sizes

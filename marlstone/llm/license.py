@@ -43,6 +43,7 @@ SENTENCES = {
 #: Ordered: earlier rules take their identifiers first.
 RULES = (
     ("Apache-2.0", ("apache-2.0", "in-compliance", "copy-at", "apache-2.0-url")),
+    ("Apache-2.0", ("apache-2.0", "in-compliance", "copy-at")),
     ("Apache-2.0", ("apache-2.0", "in-compliance")),
     ("Apache-2.0", ("apache-2.0",)),
     ("GPL-2.0-or-later", ("free-software", "gpl-terms", "version-2-later")),
@@ -113,7 +114,7 @@ TEXT_RULES = (
 )
 #: A sentence's end, behind a character that is no blank and no mark of a comment, gets an empty
 #: line, which no sentence runs over; WRAP is a single line feed.
-STOP = r"([^ \t\r\f\n;][.;:!?])(?:[ \t\r\f]+|(?=\n))"
+STOP = r"([.;:!?])(?<=[^ \t\r\f\n;].)(?:[ \t\r\f]+|(?=\n))"
 DROP_IN_LINES = r'[^a-z0-9."\n-]+'
 WRAP = r"[ -]*\n[ -]*"
 

@@ -267,6 +267,8 @@ def _dealt(members: DataFrame, hub: DataFrame | None, block_rows: int) -> DataFr
     if hub is not None:
         big = members.where(F.col("size") > block_rows).join(hub, "set_id").groupBy("bucket", "hub").agg(F.count("*").alias("_n"))
         main = big.groupBy("bucket").agg(F.max(F.struct("_n", "hub")).alias("_m")).select("bucket", F.col("_m.hub").alias("_main"), F.col("_m._n").alias("_core"))
+        main = written(main, "cores")  # a row for each bucket of more than block_rows rows
+        main = F.broadcast(main) if main.count() <= BROADCAST_IDS else main
         members = members.join(hub, "set_id", "left").join(main, "bucket", "left")
         members = members.withColumn("_core", F.coalesce("_core", F.lit(0))).withColumn("_is_core", F.coalesce(F.col("hub") == F.col("_main"), F.lit(False)))
     else:

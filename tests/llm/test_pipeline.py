@@ -1,0 +1,182 @@
+"""The corpus pipeline against plain versions of its stages, on a small awkward table."""
+
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+from marlstone.llm import jaccard, language, mixing, packing  # noqa: E402
+from marlstone.llm.tokenids import load_tokenizer  # noqa: E402
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = {"en": "the of and with from was that have this which", "de": "der die und mit von war dass haben für aber", "fr": "le la les que dans pour été avec une mais", "es": "el los que con por una para pero más como"}
+LINE = "a line that many of the documents have"
+
+
+def awkward(nulls=True):
+    rng = random.Random(12)
+    prose = lambda lang, n: " ".join(rng.choice(WORDS[lang].split()) + str(rng.randrange(40)) * (rng.random() < 0.3) for _ in range(n))
+    rows = []
+
+    def add(text, lang="en", source="src0"):
+        rows.append((len(rows), text, lang, source, len(text or "")))
+
+    for i in range(56):
+        lang = sorted(WORDS)[i % 4]
+        add(prose(lang, rng.randint(20, 90)) + (f"\n{LINE}\n" if i % 3 == 0 else ""), lang, f"src{i % 3}")
+    base = prose("en", 150)
+    for i in range(8):  # near copies
+        words = base.split()
+        words[17 * i] = f"edit{i}"
+        add(" ".join(words) + (f"\n{LINE.upper()} " if i % 2 else ""), "en", "src1")
+    for text in (rows[3][1], rows[3][1], base, "", "", None, "   ", "12345 67890", "!!!", "ok", "\n\n\n", f"{LINE}\n{LINE}", "Straße ΑΒΓ 漢字 <|endoftext|>"):
+        add(text)
+    add(prose("de", 3000), "de", "src2")  # longer than a sequence
+    add(prose("fr", 20), None, "src2")
+    add(prose("fr", 20), "fr", None)
+    add(prose("es", 20), "es", "")
+    rows.append((*rows[5][:1], "another text under a doc_id that is there the of and with from", "en", "src0", 0))
+    rows.append(rows[6])  # a repeated row
+    if nulls:
+        rows += [(None, prose("en", 30), "en", "src0", None), (None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def hashes(spark):
+    def of(texts):
+        df = spark.createDataFrame([(t,) for t in sorted(set(texts))], "t string")
+        return {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+
+    return of
+
+
+def plain_language(rows, model):
+    kept = []
+    for r in rows:
+        probs, letters = model.probabilities([r[1] or ""])
+        if letters[0] and probs.max() >= model.threshold:
+            kept.append(r)
+    return kept
+
+
+def plain_lines(rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
+    rank = lambda d: (d is not None, d or 0)
+    holders = {}
+    for d, text, *_ in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 10:
+                holders.setdefault(key(line), set()).add(d)
+    out = []
+    for d, text, lang, source, n in rows:
+        lines = (text or "").split("\n")
+        keep = [x for x in lines if len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)], key=rank) == d]
+        cut = len(keep) < len(lines)
+        text = "\n".join(keep) if cut else text
+        out.append((d, text, lang, source, len(text) if cut else n))
+    return out
+
+
+def plain_near(rows, hashes):
+    rows = list({(r[0], r[1] or ""): r for r in rows}.values())
+    sets = [frozenset(x.tolist()) for x in jaccard.unique_shingles([r[1] or "" for r in rows])]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    of = hashes([r[1] or "" for r in rows])
+    place = lambda r: (r[0] is None, r[0] or 0, of[r[1] or ""])
+    return [min((rows[i] for i in range(len(rows)) if label[i] == c), key=place) for c in set(label)]
+
+
+def plain_mix(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    if rows:
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    taken = {r[0] for r in con.sql(f"SELECT doc_id FROM ({mixing._oracle(corpus_pipeline.MIX)})").fetchall()}
+    return [r for r in rows if r[0] in taken]
+
+
+def key(r):
+    return tuple((x is None, str(x)) for x in r)
+
+
+def test_run_equals_plain_stages(spark, tmp_path, hashes):
+    rows = awkward(nulls=False)
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = language.train(docs)
+    kept = plain_language(rows, model)
+    assert 0 < len(kept) < len(rows)
+    kept = plain_lines(kept)
+    assert any(r[1] != s[1] for r in kept for s in rows if s[0] == r[0])
+    near = plain_near(kept, hashes)
+    assert len(near) < len(kept)
+    mixed = plain_mix(near)
+    assert 0 < len(mixed) < len(near)
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    plain = load_tokenizer(public_tokenizers.path(packing.VOCABULARY))
+    want = []
+    for r in mixed:
+        ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+        begin, end, piece = 0, len(ids) % packing.CAPACITY or packing.CAPACITY, 0
+        while begin < len(ids):
+            want.append((r[0], piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+            begin, end, piece = end, end + packing.CAPACITY, piece + 1
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found in sequences.values():
+        found.sort()
+        assert [a for a, _ in found] == [sum(n for _, n in found[:i]) for i in range(len(found))] and sum(n for _, n in found) <= packing.CAPACITY
+    assert len(sequences) == -(-sum(w[3] for w in want) // packing.CAPACITY)
+
+
+def test_each_stage_equals_its_plain_version(spark, hashes):
+    """With null ids, nulls in every column and clashing names of other columns."""
+    rows = awkward()
+    docs = spark.createDataFrame([(*r, "mine", 7) for r in rows], f"{COLUMNS}, kept_doc string, n_lines int").repartition(3)
+    model = language.train(docs)
+    stages = dict(corpus_pipeline.STAGES)
+    plain = {"language ID": lambda x: plain_language(x, model), "line dedup": plain_lines, "n-gram Jaccard join": lambda x: plain_near(x, hashes)}
+    for name, version in plain.items():
+        found = stages[name](spark, docs, "")
+        assert found.columns == docs.columns
+        found = found.collect()
+        assert {(r.kept_doc, r.n_lines) for r in found} == {("mine", 7)}
+        got, want = [tuple(r)[:5] for r in found], version(rows)
+        if name == "n-gram Jaccard join":  # of texts that are null or empty either may stay
+            got, want = ([(r[0], r[1] or "") for r in x] for x in (got, want))
+        assert sorted(got, key=key) == sorted(want, key=key), name
+    mixed = stages["mixing sources"](spark, docs, "")
+    assert mixed.columns == docs.columns and 0 < mixed.count() < len(rows)
+    once = [r for r in rows if r[0] is not None]
+    small = spark.createDataFrame(once, COLUMNS)
+    assert sorted((tuple(r) for r in stages["mixing sources"](spark, small, "").collect()), key=key) == sorted(plain_mix(once), key=key)
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = spark.createDataFrame([], COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns and found.collect() == []
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_are_the_five_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,44 +124,75 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs)).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of documents by descending key, then hash. ``cuts`` part the keys; a key of more rows
+    than a range has ranges of its own, ``splits`` of equal shares of the hashes."""
+
+    cuts: np.ndarray
+    splits: np.ndarray
+
+    @classmethod
+    def of(cls, quantiles: list[int]) -> "Ranges":
+        keys, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        hot = dict(zip(keys[times > 1].tolist(), times[times > 1].tolist()))
+        alone = [k - 1 for k in hot if k > _LOWEST]
+        cuts = np.unique(np.concatenate([keys, np.array(alone, np.int64)]))
+        return cls(cuts, np.array([1, *(hot.get(k, 1) for k in cuts[::-1].tolist())], np.int64))
+
+    @property
+    def count(self) -> int:
+        return int(self.splits.sum())
+
+    def part(self, key: np.ndarray, row_hash: np.ndarray) -> np.ndarray:
+        at = len(self.cuts) - np.searchsorted(self.cuts, key, side="left")
+        share = ((row_hash >> 32) + (1 << 31)) * self.splits[at] >> 32
+        return ((np.cumsum(self.splits) - self.splits)[at] + share).astype(np.int32)
+
+
 def compare_with_next(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Fingerprints of each text, its edited text and the next document's text, and how alike.
 
     Documents go by descending doc_id (rows of one doc_id by their text's hash, null doc_ids
     last); behind the last comes the first, so a single document is its own next. Texts are
-    dealt once, by ranges of doc_id; the first document of each range also goes to the range
-    before. Null text counts as empty; an empty table gives no rows; other columns are not read.
+    dealt once, by ranges of doc_id, and of the hash where a doc_id has very many rows; the first
+    document of each range also goes to the range before. Null text counts as empty; an empty
+    table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(_LOWEST)))
+    rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("_hash", F.xxhash64("text"))
     tasks = min(MOST_TASKS, max(1, -(-docs.count() // task_rows)))
-    cuts = np.zeros(0, np.int64)
+    ranges = Ranges.of([])
     if tasks > 1:
         at = ", ".join(f"{i / tasks}D" for i in range(1, tasks))
-        found = rows.select("_key").agg(F.expr(f"percentile_approx(_key, array({at}), {max(10_000, 20 * tasks)})")).first()[0]
-        cuts = np.unique(np.array(found, np.int64))
-    parts = len(cuts) + 1
+        ranges = Ranges.of(rows.select("_key").agg(F.expr(f"percentile_approx(_key, array({at}), {max(10_000, 20 * tasks)})")).first()[0])
 
     @F.pandas_udf("int")
-    def part_of(key):
+    def part_of(key, row_hash):
         import pandas as pd
 
-        return pd.Series((parts - 1 - np.searchsorted(cuts, key.to_numpy(), side="left")).astype(np.int32))
+        return pd.Series(ranges.part(key.to_numpy(), row_hash.to_numpy()))
 
-    heads = {r["part"]: r["head"] for r in rows.select("_key").groupBy(part_of("_key").alias("part")).agg(F.max("_key").alias("head")).collect()}  # a row for each range
+    if len(ranges.splits) == ranges.count:  # keys alone: texts need not be read for the heads
+        heads = rows.select("_key", F.lit(0).cast("long").alias("_hash"))
+    else:
+        heads = rows.select("_key", "_hash")
+    heads = heads.groupBy(part_of("_key", "_hash").alias("part")).agg(F.min(F.struct(F.bitwise_not("_key").alias("k"), F.col("_hash").alias("h"))).alias("head")).collect()  # a row for each range
+    heads = {r["part"]: (~r["head"]["k"], r["head"]["h"]) for r in heads}
     order = sorted(heads)
-    before = {heads[p]: order[i - 1] for i, p in enumerate(order)}  # first key of a range -> the range before
+    before = {heads[p]: order[i - 1] for i, p in enumerate(order)}  # first row of a range -> the range before
+    by_hash = len(ranges.splits) != ranges.count
 
     @F.pandas_udf("array<int>")
-    def parts_of(key):
+    def parts_of(key, row_hash):
         import pandas as pd
 
-        k = key.to_numpy()
-        own = parts - 1 - np.searchsorted(cuts, k, side="left")
-        return pd.Series([[p, before[x]] if x in before else [p] for p, x in zip(own.tolist(), k.tolist())])
+        k, h = key.to_numpy(), row_hash.to_numpy()
+        rows = zip(ranges.part(k, h).tolist(), k.tolist(), h.tolist() if by_hash else [0] * len(k))
+        return pd.Series([[p, before[x, y]] if (x, y) in before else [p] for p, x, y in rows])
 
-    dealt = rows.withColumn("_parts", parts_of("_key")).select("doc_id", "text", "_key", F.posexplode("_parts").alias("_pos", "_part"))
-    dealt = dealt.repartitionById(parts, F.col("_part")).sortWithinPartitions("_pos", F.desc("_key"), F.xxhash64("text"), "text")
+    dealt = rows.withColumn("_parts", parts_of("_key", "_hash")).select("doc_id", "text", "_key", F.posexplode("_parts").alias("_pos", "_part"))
+    dealt = dealt.repartitionById(ranges.count, F.col("_part")).sortWithinPartitions("_pos", F.desc("_key"), F.xxhash64("text"), "text")
     return dealt.select("doc_id", "text", "_pos").mapInArrow(_compare, _SCHEMA)
 
 

@@ -170,6 +170,12 @@ def _formatted(template: Template, loss_role: str, part_turns: int, window: int
     return run
 
 
+def _ordered(turns: DataFrame) -> DataFrame:
+    """(conv_id, role, text), a conversation's turns together and in order."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+
 def format_chats(turns: DataFrame, template: Template = inst_template, loss_role: str = "assistant", part_turns: int = PART_TURNS, window: int | None = None) -> DataFrame:
     """Formats conversations (conv_id, turn, role, text) with spans and a loss mask.
 
@@ -185,9 +191,36 @@ def format_chats(turns: DataFrame, template: Template = inst_template, loss_role
     rewrite that a longer prefix would show is not seen, and a turn that rightly depends on those
     before it is refused.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_formatted(template, loss_role, part_turns, window), _PART_SCHEMA)
+    return _ordered(turns).mapInArrow(_formatted(template, loss_role, part_turns, window), _PART_SCHEMA)
+
+
+def find_rewrites(turns: DataFrame, template: Template = inst_template) -> DataFrame:
+    """(conv_id, n_turns, rewritten_by): of each conversation, the place (from 0, in the order of
+    :func:`format_chats`) of the first turn whose prefix changes the output of the one before; null
+    if none does. Raises nothing for such a template. A conversation's turns are held."""
+    rows = _ordered(turns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: int | None = None
+        renderer, n, found = None, 0, None
+        out: list[tuple] = []
+        for batch in batches:
+            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if renderer is None or conv != current:
+                    if renderer is not None:
+                        out.append((current, n, found))
+                    current, renderer, n, found = conv, IncrementalRenderer(template), 0, None
+                if found is None:
+                    try:
+                        renderer.add(role, text)
+                    except TemplateRewritesHistory:
+                        found = n
+                n += 1
+        if renderer is not None:
+            out.append((current, n, found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64()))], ["conv_id", "n_turns", "rewritten_by"])
+
+    return rows.mapInArrow(run, "conv_id long, n_turns long, rewritten_by long")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

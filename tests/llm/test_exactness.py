@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from marlstone.llm import common, fingerprint, jaccard, language, license, linededup, media, mixing, packing, tokenfiles  # noqa: E402
+from marlstone.llm import chat, common, fingerprint, jaccard, language, license, linededup, media, mixing, packing, tokenfiles  # noqa: E402
 from marlstone.llm.tokenids import PieceCache, load_tokenizer, span_keys  # noqa: E402
 from marlstone.scratch import fresh_dir  # noqa: E402
 
@@ -151,6 +151,26 @@ def test_fingerprints_equal_a_plain_version(spark):
             assert near == pytest.approx(min(1, max(0, (same - 1 / 16) / (15 / 16))))
 
 
+def test_a_doc_id_of_many_rows_is_split(spark):
+    rng = random.Random(3)
+    rows = [(7, f"text {i} of the one id") for i in range(40)] + [(i, f"row {i}") for i in range(1, 13)] + [(None, f"none {i}") for i in range(9)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = fingerprint.Ranges.of([-5, 3, 7, 7, 7, 7, 9])
+    keys = np.array([10, 9, 8, 7, 7, 7, 6, 3, 0, -5, -9])
+    spread = np.array([0, 0, 0, -(1 << 63), 0, (1 << 63) - 1, 0, 0, 0, 0, 0])
+    parts = ranges.part(keys, spread).tolist()
+    assert parts == sorted(parts) and parts[3] + 3 == parts[5] and ranges.count == 9 and parts[-1] == 8
+    order = sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = {}
+    for k, r in enumerate(order):
+        after, n = order[(k + 1) % len(order)].text, len(r.text) // 2
+        want[r.doc_id, r.text] = plain_fingerprint(r.text[: len(r.text) - n] + after[:n])
+    for task_rows in (1, 4, 1000):
+        got = fingerprint.compare_with_next(docs, task_rows).collect()
+        assert sorted(fingerprint.from_hex(r.edited_fingerprint).tolist() for r in got) == sorted(want.values())
+
+
 # -- media
 
 
@@ -268,6 +288,20 @@ def test_rejection_on_the_given_documents(spark):
     assert share.get(False, (1, 0))[0] > 10 * share[True][0]  # wrong ones go far more often
 
 
+# -- chats
+
+
+def test_rewrites_are_reported_for_each_conversation(spark):
+    turns = spark.createDataFrame([(c, i, "user", f"t{i}") for c in range(4) for i in range(5 * c)] + [(None, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    last_ten = lambda t, opening: "".join(f"<{x}>" for _, x in t[-10:])
+    found = {r.conv_id: (r.n_turns, r.rewritten_by) for r in chat.find_rewrites(turns, last_ten).collect()}
+    assert found == {1: (5, None), 2: (10, None), 3: (15, 10), None: (1, None)}
+    numbered = lambda t, opening: "".join(f"{i}<{x}>" for i, (_, x) in enumerate(t))
+    long = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(50)], "conv_id long, turn long, role string, text string")
+    assert chat.find_rewrites(long, numbered).first().rewritten_by is None and chat.find_rewrites(long.limit(0)).collect() == []
+    assert "".join(r.formatted for r in chat.format_chats(long, numbered).collect()).endswith("49<t49>")
+
+
 # -- licences
 
 LATER = "either version {} of the License, or\n(at your option) any later version."

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, own_columns, place_of, table, text_batches, text_column, unused, written
+from .common import aside, drop_written, own_columns, place_of, table, text_batches, text_column, unused, written
 
 LEAST_CHARS = 10
 #: Line rows that leave a Python worker at once.
@@ -101,9 +101,11 @@ _SCHEMA = "kind int, part int, h1 long, h2 long, doc_id long, row_hash long, pla
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, row_hash, dropped): the places of the lines that each document loses, for
     documents that lose any; row_hash is xxhash64 of the text."""
-    rows = _keyed(docs).mapInArrow(_line_rows(least_chars), "h1 long, h2 long, doc_id long, row_hash long, places array<int>")
-    rows = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row_hash", "places")
+    keys = _keyed(docs).mapInArrow(_line_rows(least_chars), "h1 long, h2 long, doc_id long, row_hash long, places array<int>")
+    keys = written(keys, "keys")  # read twice: for the bounds of the ranges and for their rows
+    rows = keys.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row_hash", "places")
     found = written(rows.mapInArrow(_first_occurrences, _SCHEMA), "lines")
+    drop_written(keys)
     ends = sorted(tuple(r) for r in found.where("kind = 2").select("part", "h1", "h2", "last1", "last2").collect())  # a row for each partition
     continued = [b[0] for a, b in zip(ends, ends[1:]) if a[3:] == b[1:3]]
     lost = found.where((F.col("kind") == 0) | ((F.col("kind") == 1) & F.col("part").isin(continued)))

@@ -13,11 +13,14 @@ its sets are in, so links are counted without a table of pairs; the connections
 leave it as a tree. Large buckets are compared in pairs of blocks of BLOCK_ROWS, so no task holds
 more than two blocks.
 
-Jaccard distance is a metric: sets that are within half of the distance allowed of one pivot, any
-set, are all linked with each other. Large alike buckets get a pivot, the shingles that most of
-their sets have. Their sets are measured against it exactly, and those that are close enough are
-its hub: linked by membership, counted by their number and never compared or dealt among
-themselves. Comparisons are left between the other sets of an alike bucket and all of it.
+Large alike buckets get a pivot, the shingles that most of their sets have, say of a passage that
+many documents share. A set with less than a share INSIDE of its shingles in the pivot can only be
+linked to one with which it shares shingles outside of it, and many of these: it leaves the bucket
+for buckets by tokens sampled outside of the pivot, which are split like any others. What stays in
+the bucket of a pivot is alike indeed. Jaccard distance is a metric: sets that are within half of
+the distance allowed of one pivot, any set, are all linked with each other. They are its hub:
+linked by membership, counted by their number and never compared or dealt among themselves.
+Comparisons are left between the other sets of a pivot's bucket and all of it.
 """
 
 from __future__ import annotations
@@ -48,6 +51,13 @@ BLOCK_ROWS = 8192
 #: to which they are broadcast.
 HUB_ROWS = 1024
 HUB_SAMPLE = 128
+#: How far below the threshold the share in the pivot is from which a set stays with it, times that
+#: buckets are divided by pivots, and pivots that a set may have.
+MARGIN = 0.1
+ROUNDS = 4
+SLOTS = 16
+#: Columns of paths are below this, those of pivots and outside tokens from it on.
+PIVOT_COLUMNS = 1 << 28
 BROADCAST_BYTES = 1 << 25
 #: Rows of a side that are compared at once, and groups up to which pairs are listed by shifts.
 SIDE_ROWS = 1024
@@ -223,41 +233,79 @@ def _pivot(group: pa.Table) -> pa.Table:
     return pa.table({"near": group.column("near").slice(0, 1), "hub": pa.array([hub], pa.int64()), "pivot": pa.array([pivot.tobytes()], pa.binary())})
 
 
-def _close(threshold: float):
-    """The sets (set_id, shingles, hub, pivot) within half of the distance allowed of their pivot."""
+def outside_for(recall: float, threshold: float = NEAR) -> int:
+    """Tokens to sample outside of pivots: of a linked pair with a set that has less than the
+    threshold - MARGIN of its shingles in the pivot, what is outside has a similarity of at least
+    MARGIN / (1 - threshold + MARGIN)."""
+    return min(COORDINATES, math.ceil(math.log(1 - recall) / math.log(1 - MARGIN / (1 - threshold + MARGIN))))
+
+
+_MEASURED = "set_id binary, hub long, slot int, inside boolean, close boolean, outside array<int>"
+
+
+def _measured(threshold: float, samples: int):
+    """Sets (set_id, hub, slot, shingles, pivot): whether they stay with the pivot and whether they
+    are of its hub, and tokens sampled outside of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            close = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(1), batch.column(3))):
+        for batch in text_batches(batches, 3):
+            inside, close = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            some, sets = [], []
+            for i, (a, b) in enumerate(zip(batch.column(3), batch.column(4))):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                hit = np.isin(a, b, assume_unique=True)
+                both = int(hit.sum())
+                inside[i] = both >= (threshold - MARGIN) * len(a)
                 close[i] = 2 * (len(a) + len(b) - 2 * both) <= (1 - threshold) * (len(a) + len(b) - both)
-            yield batch.select([0, 2]).filter(pa.array(close))
+                if both < len(a):
+                    some.append(i)
+                    sets.append(a[~hit])
+            n = np.zeros(batch.num_rows + 1, np.int32)
+            n[np.array(some, np.int64) + 1] = samples
+            flat = coordinates(sets)[:, :samples].reshape(-1) if sets else np.zeros(0, np.int32)
+            columns = [*(batch.column(k) for k in range(3)), pa.array(inside), pa.array(close), pa.ListArray.from_arrays(pa.array(np.cumsum(n, dtype=np.int32)), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["set_id", "hub", "slot", "inside", "close", "outside"])
 
     return run
 
 
-def hubs(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float, words: int, hub_rows: int = HUB_ROWS) -> DataFrame | None:
-    """(set_id, hub), written: sets of alike buckets of over hub_rows rows that are close to their
-    pivot, so that all sets of one hub are linked; None if no bucket is that large. Equal pivots
-    are one hub. What a pivot is made from, a bounded sample, decides how many sets are close to
-    it, and never what is linked."""
-    alike = members.where(F.col("alike") & (F.col("size") > hub_rows)).select("set_id", "size", F.col("bucket").alias("near"))
-    inside = written(alike.groupBy("set_id").agg(F.max(F.struct("size", "near")).alias("_b")).select("set_id", "_b.near"), "dense")
-    if not inside.limit(1).count():
-        drop_written(inside)
-        return None
-    dense = written(_shingles_of(rows, nodes, inside, words).join(inside, "set_id"), "dense")
-    sample = alike.where(F.pmod(F.xxhash64("set_id"), F.greatest(F.floor(F.col("size") / HUB_SAMPLE), F.lit(1))) == 0)
-    sample = sample.join(inside.select("near").distinct(), "near", "left_semi").join(dense.select("set_id", "shingles"), "set_id").select("near", "shingles")
-    pivots = written(sample.groupBy("near").applyInArrow(_pivot, "near long, hub long, pivot binary"), "pivots")
-    size = pivots.agg(F.sum(F.length("pivot"))).first()[0] or 0
-    beside = dense.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "near")
-    out = written(beside.select("set_id", "shingles", "hub", "pivot").mapInArrow(_close(threshold), "set_id binary, hub long"), "hubs")
-    for df in (inside, dense, pivots):
-        drop_written(df)
-    return out
+def divided(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float, words: int, recall: float, bucket_rows: int = BUCKET_ROWS, hub_rows: int = HUB_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(members, written, with alike buckets of over hub_rows rows divided by pivots; the sets of
+    hubs (set_id, hub), None if there are none). What a pivot is made from, a bounded sample,
+    decides which sets are compared, and never what is linked."""
+    samples, hub, base = outside_for(recall, threshold), None, PIVOT_COLUMNS
+    for _ in range(ROUNDS):
+        alike = members.where(F.col("alike") & (F.col("size") > hub_rows)).select("set_id", "size", F.col("bucket").alias("near"))
+        if not alike.limit(1).count():
+            break
+        dense = written(_shingles_of(rows, nodes, alike, words).join(alike.select("set_id").distinct(), "set_id", "left_semi"), "dense")
+        sample = alike.where(F.pmod(F.xxhash64("set_id"), F.greatest(F.floor(F.col("size") / HUB_SAMPLE), F.lit(1))) == 0)
+        pivots = written(sample.join(dense, "set_id").select("near", "shingles").groupBy("near").applyInArrow(_pivot, "near long, hub long, pivot binary"), "pivots")
+        size = pivots.agg(F.sum(F.length("pivot"))).first()[0] or 0
+        sized = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
+        # buckets of one pivot are one; a set has a pivot of each slot
+        own = alike.join(sized(pivots.select("near", "hub")), "near").groupBy("set_id", F.pmod(F.xxhash64("hub"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.min("hub").alias("hub"))
+        beside = own.join(dense, "set_id").join(sized(pivots.select("hub", "pivot").dropDuplicates(["hub"])), "hub")
+        found = written(beside.select("set_id", "hub", "slot", "shingles", "pivot").mapInArrow(_measured(threshold, samples), _MEASURED), "measured")
+        close = found.where("close").groupBy("set_id").agg(F.min("hub").alias("hub"))
+        hub = written(close if hub is None else hub.unionByName(close.join(hub, "set_id", "left_anti")), "hubs")
+        staying = found.where("inside").withColumn("col", F.col("slot") + base).select("set_id", "col", F.xxhash64("col", "hub").alias("bucket"))
+        sizes = staying.groupBy("col", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+        staying = staying.join(sizes, ["col", "bucket"]).withColumn("alike", F.lit(False))
+        leaving = found.select("set_id", "slot", "inside", F.posexplode("outside").alias("_k", "_v"))
+        leaving = leaving.withColumn("col", F.col("slot") * samples + F.col("_k") + base + SLOTS).select("set_id", "inside", "col", F.xxhash64("col", "_v").alias("bucket"))
+        sets = (F.expr("bit_xor(xxhash64(set_id))").alias("_x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("_y"))
+        sizes = leaving.groupBy("col", "bucket").agg(F.count("*").alias("size"), F.bool_and("inside").alias("_all"), *sets).where("size > 1 and not _all")
+        sizes = sizes.groupBy("size", "_x", "_y").agg(F.min(F.struct("col", "bucket")).alias("_b")).select("size", "_b.*")
+        leaving = leaving.join(sizes, ["col", "bucket"]).withColumn("alike", F.col("size") > bucket_rows)
+        calm = members.where(~F.col("alike") | (F.col("size") <= hub_rows))
+        names = ["set_id", "col", "bucket", "size", "alike"]
+        after = written(calm.select(*names).unionByName(staying.select(*names)).unionByName(leaving.select(*names)), "members")
+        for df in (dense, pivots, found, members):
+            drop_written(df)
+        members = after
+        base += SLOTS * (1 + samples)
+    return members, hub
 
 
 def _dealt(members: DataFrame, hub: DataFrame | None, block_rows: int) -> DataFrame:
@@ -498,7 +546,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     found = written(rows.mapInArrow(_sets(False, words), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
     nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min(_place()).alias("first"), F.min("sig").alias("sig")), "nodes")
     members = leaf_buckets(nodes, runs, bucket_rows, depth_for(recall, threshold))
-    hub = hubs(rows, nodes, members, threshold, words, hub_rows)
+    members, hub = divided(rows, nodes, members, threshold, words, recall, bucket_rows, hub_rows)
     lists = members.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("col", "bucket"))).alias("_l"))
     lists = nodes.select("set_id", "weight", "sig").join(lists.select("set_id", F.col("_l.col").alias("leaf_cols"), F.col("_l.bucket").alias("leaf_buckets")), "set_id")
     lists = lists.withColumn("hub", F.lit(None).cast("long")) if hub is None else lists.join(hub, "set_id", "left")

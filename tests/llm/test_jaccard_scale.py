@@ -65,7 +65,8 @@ def test_hubs_give_the_links_of_brute_force(spark, sizes):
     got = sorted(map(tuple, jaccard.near_duplicates(df, **sizes).collect()))
     assert got == brute(rows)
     assert max(r[2] for r in got) > 140
-    hubs = jaccard.hubs(*nodes_of(df), jaccard.leaf_buckets(nodes_of(df)[1], 6, 16), 0.8, 5, 20)
+    rows, nodes = nodes_of(df)
+    _, hubs = jaccard.divided(rows, nodes, jaccard.leaf_buckets(nodes, 6, 16), 0.8, 5, 0.9999, 16, 20)
     assert sum(sorted(r["count"] for r in hubs.groupBy("hub").count().collect())[-2:]) > 250
 
 
@@ -74,7 +75,7 @@ def test_sets_of_a_hub_are_all_linked(spark):
     rows = like_rows(rng, 120) + like_rows(rng, 40)
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     texts, nodes = nodes_of(df)
-    hub = {bytes(r.set_id): r.hub for r in jaccard.hubs(texts, nodes, jaccard.leaf_buckets(nodes, 6, 16), 0.8, 5, 20).collect()}
+    hub = {bytes(r.set_id): r.hub for r in jaccard.divided(texts, nodes, jaccard.leaf_buckets(nodes, 6, 16), 0.8, 5, 0.9999, 16, 20)[1].collect()}
     sets = list(jaccard.unique_shingles([t for _, t in rows]))
     of = [hub.get(x) for x in jaccard.set_ids(sets)]
     inside = 0
@@ -130,3 +131,58 @@ def test_levels_and_runs():
             assert depth == jaccard.LEAST_DEPTH or runs + jaccard.BRANCH * (depth - 1) <= jaccard.COORDINATES
             assert (1 - threshold * (1 - (1 - threshold) ** jaccard.BRANCH) ** (depth - 1)) ** runs <= 1 - recall
     assert jaccard.depth_for(jaccard.TARGET_RECALL, jaccard.NEAR) == jaccard.DEPTH and jaccard.runs_for(jaccard.TARGET_RECALL) == 6
+
+
+def passages(rng, size, pairs, words=60, own=40):
+    """Texts that share one of two passages, or both, and near copies of some of them."""
+    shared = [[rng.choice(WORDS) for _ in range(words)] for _ in range(2)]
+    rows = []
+    for i in range(size):
+        text = [w for p in ([shared[0]], [shared[0]], [shared[1]], shared)[i % 4] for w in p] + [rng.choice(WORDS) for _ in range(own)]
+        rows.append((len(rows), " ".join(text)))
+        if i < pairs:
+            text[-1 - i % own] = f"e{i}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_common_passages_are_not_compared_with_each_other(spark):
+    rng = random.Random(21)
+    rows = passages(rng, 300, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts, nodes = nodes_of(df)
+    before = jaccard.leaf_buckets(nodes, 6, 16)
+    assert before.where("alike").agg(F.max("size")).first()[0] > 100  # the passages make large alike buckets
+    after, _ = jaccard.divided(texts, nodes, before, 0.8, 5, 0.9999, 16, 20)
+    # texts of both passages have 0.74 of their shingles there and stay together; the others leave
+    largest = sorted((r["size"] for r in after.select("bucket", "size").distinct().collect()), reverse=True)
+    assert largest[0] <= 100 and largest[2] <= 20
+    assert jaccard._dealt(after, None, 8192).groupBy("bucket").count().select((F.col("count") * F.col("count")).alias("n")).agg(F.sum("n")).first()[0] < len(rows) ** 2 / 4
+    got = sorted(map(tuple, jaccard.near_duplicates(df, bucket_rows=16, block_rows=64, hub_rows=20).collect()))
+    assert got == brute(rows) and sum(r[2] for r in got) >= 180
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixed_groups_give_the_links_of_brute_force(spark, seed):
+    """Passages of all lengths beside groups of like texts and copies, in tiny buckets."""
+    rng = random.Random(seed)
+    rows = like_rows(rng, 60, 2, 30) + passages(rng, 60, 30, rng.randint(20, 90), rng.randint(10, 60))
+    rows += rows[:15] + passages(rng, 40, 40, 100, 8)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(df, bucket_rows=8, block_rows=30, hub_rows=10).collect()}
+    want = {d: n for d, _, n in brute(rows)}
+    assert all(got[d] <= n for d, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_tokens_outside_of_pivots_meet_the_recall():
+    for threshold in (0.5, 0.7, 0.8, 0.9):
+        n = jaccard.outside_for(0.9999, threshold)
+        least = 1.0
+        for a in range(0, int(100 * (threshold - jaccard.MARGIN))):  # of 100 shingles of x in the pivot
+            for i in range(0, 101 - a):  # shared outside
+                for more in range(0, 30):  # the other's own shingles outside
+                    if (a + i) / (100 + more) >= threshold:
+                        least = min(least, i / (100 - a + more))
+        assert (1 - least) ** n <= 1e-4 or n == jaccard.COORDINATES

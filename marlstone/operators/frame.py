@@ -6,7 +6,7 @@ left where they stand in the chain; ``limit`` and ``offset`` cut the final resul
 of calls. A dense order (consecutive numbers, with no filter before) is cut by its values, which
 Parquet pushes down; an archive reads only the files that hold them. Short windows behind filters
 keep the least rows of the order; other positions come from counts of ranges of the order, never
-from a window over more than RANGE rows in one task.
+from a window over all rows in one task.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from ..errors import CrossSource, IndexOverflow, NotFound, TypeMismatch
 from ..functions import predicates as p
 from ..functions.predicates import Predicate
 
-#: Values of the order in one range, and ranges in one range of ranges, in bits.
-RANGE_BITS = 16
+#: Values of the order in one range, which one task sorts, and ranges in one range of ranges, in
+#: bits; of the latter there are 2 ** 22 at most.
+RANGE_BITS = 21
+#: No table has as many rows: a dense order has one level of ranges.
+MOST_ROWS = 1 << (2 * RANGE_BITS)
 #: Values up to which a set is compared in the filter; longer ones are joined.
 IN_FILTER = 500
 #: Rows up to which a window behind filters is the least of a sort.
@@ -288,7 +291,8 @@ class Frame:
         return replace(out, scan=self.scan, wheres=(*self.wheres, condition))
 
     def _filtered(self, rows: DataFrame) -> "Frame":
-        return replace(self, rows=rows, dense=False, total=None, first=0, scan=None, wheres=(), skipped=None)
+        span = MOST_ROWS if self.span is None and self.dense else self.span
+        return replace(self, rows=rows, dense=False, total=None, first=0, span=span, scan=None, wheres=(), skipped=None)
 
     def _between(self, low: int, high: int | None, total: int | None) -> "Frame":
         """The rows of a dense order from low to before high."""
@@ -371,7 +375,7 @@ def _common(mine: T.StructType, name: str, theirs: T.StructType, other_name: str
 def _placed(rows: DataFrame, order: str, span: int | None = None) -> DataFrame:
     """Rows with __pos, their position. The order's values are counted in ranges, these in ranges
     of ranges, up to what one task can sum; places add up from there down to the rows of a range."""
-    levels = [k * RANGE_BITS for k in range(1, 4) if k == 1 or span is None or span >> (k * RANGE_BITS)]
+    levels = [k * RANGE_BITS for k in range(1, 3) if k == 1 or span is None or (span - 1) >> (k * RANGE_BITS)]
     of = lambda bits: f"__range{bits}"
     rows = rows.withColumns({of(b): F.shiftright(F.col(order).cast("long"), b) for b in levels})
     sums, below = {}, rows.select(*map(of, levels), F.lit(1).cast("long").alias("_n"))

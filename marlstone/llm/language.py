@@ -31,7 +31,7 @@ RATE = 0.2
 #: The share of rightly identified texts that rejection may cost: it sets the threshold.
 REJECTED_RIGHT = 0.005
 #: A calibrated score from which no text is rejected, however certain the others are.
-CERTAIN = 0.9
+CERTAIN = 0.8
 UNKNOWN = "und"
 _BLOCK = 1 << 18
 _LETTERS: list[np.ndarray] = []

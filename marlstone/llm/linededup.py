@@ -9,7 +9,6 @@ earlier one follows from the partitions' first and last keys, one row each.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 

@@ -372,10 +372,16 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
     sig = _numpy_lists(t.column("sig"), np.int32)[0].reshape(n, COORDINATES)
     cols, lengths = _numpy_lists(t.column("leaf_cols"), np.int32)
     buckets, _ = _numpy_lists(t.column("leaf_buckets"), np.int64)
-    used, number = np.unique(cols, return_inverse=True)
+    used, number, times = np.unique(cols, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), lengths)
+    several = times > 1  # a col of one row parts no pair
+    keep = several[number]
+    owner, buckets, number, used = owner[keep], buckets[keep], (np.cumsum(several) - 1)[number[keep]], used[several]
     # a row's bucket of each col; where it has none a number that no other row has there
     place = np.repeat(-np.arange(1, n + 1, dtype=np.int64)[:, None], max(1, len(used)), axis=1)
-    place[np.repeat(np.arange(n), lengths), number] = buckets
+    place[owner, number] = buckets
+    has = np.zeros(place.shape, bool)
+    has[owner, number] = True
     own = np.searchsorted(used, t.column("col").to_numpy())
     across = t.column("bi").to_numpy() != t.column("bj").to_numpy()
     block = t.column("block").to_numpy()
@@ -403,8 +409,9 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
     for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
         rows = np.arange(starts[g], starts[g + 1])
         col = own[rows[0]]
-        rows = rows[np.lexsort([place[rows, c] for c in range(col, -1, -1)] + [hub[rows], block[rows]])]
+        rows = rows[np.lexsort([place[rows, c] for c in range(min(col, 7), -1, -1)] + [hub[rows], block[rows]])]
         sides = [own_block[a : a + SIDE_ROWS] for k in np.unique(block[rows]) for own_block in [rows[block[rows] == k]] for a in range(0, len(own_block), SIDE_ROWS)]
+        side_has = [has[x].any(axis=0) for x in sides]
         for p, x in enumerate(sides):
             for q in range(p, len(sides)):
                 y = sides[q]
@@ -414,8 +421,9 @@ def candidates(t: pa.Table, starts: np.ndarray, estimate: float) -> Iterator[tup
                     continue
                 open_ = hub[x][:, None] != hub[y][None, :]
                 open_ &= True if p != q else np.triu(np.ones((len(x), len(x)), bool), 1)
-                for c in range(col):
-                    open_ &= place[x, c][:, None] != place[y, c][None, :]
+                for c in np.flatnonzero(side_has[p][:col] & side_has[q][:col]).tolist():
+                    i, j = np.flatnonzero(has[x, c]), np.flatnonzero(has[y, c])
+                    open_[np.ix_(i, j)] &= place[x[i], c][:, None] != place[y[j], c][None, :]
                 if not open_.any():
                     continue
                 alike = np.zeros((len(x), len(y)), np.uint8)

@@ -437,7 +437,7 @@ class Nation:
     note: str | None
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, n_regionkey < 2 AS near, [n_nationkey, n_regionkey] AS codes, CASE WHEN n_regionkey > 0 THEN n_name END AS note FROM nation")
+@query("SELECT n_nationkey, n_name, n_regionkey, n_regionkey < 2 AS near, [CAST(n_nationkey AS BIGINT), n_regionkey] AS codes, CASE WHEN n_regionkey > 0 THEN n_name END AS note FROM nation")
 def records_roundtrip(spark, sf_dir):
     """Records pushed one by one and read back as records: 25 nations."""
     archive = Archive.new(spark, fresh_dir(spark, "records"))

@@ -75,6 +75,16 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 1 << 23
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """For a job that has its session to itself, as registered queries and stages have: Arrow
+    batches of BATCH_ROWS rows at most, which executors of little memory can hold several of.
+    Operators leave the session's settings as they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, of at most BATCH_ROWS rows and, if of more than one row, of about
     BATCH_BYTES bytes in column ``at``."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, shingles, table, text_batches, text_blocks, text_column
+from .common import SHINGLE_WORDS, bound_batches, shingles, table, text_batches, text_blocks, text_column
 from .tokenids import _U, _mix
 
 BINS = 512
@@ -197,4 +197,4 @@ def compare_with_next(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    return compare_with_next(table(bound_batches(spark), sf_dir, "documents"))

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, drop_written, own_columns, shingles, table, text_batches, text_blocks, text_column, unused, written
+from .common import NEAR, SHINGLE_WORDS, bound_batches, drop_written, own_columns, shingles, table, text_batches, text_blocks, text_column, unused, written
 from .tokenids import _U, _mix
 
 COORDINATES = 64
@@ -611,4 +611,4 @@ def keep_one_of_each(docs: DataFrame, threshold: float = NEAR, words: int = SHIN
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(bound_batches(spark), sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, own_columns, place_of, table, text_batches, text_blocks, text_column
+from .common import aside, bound_batches, own_columns, place_of, table, text_batches, text_blocks, text_column
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -235,6 +235,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(bound_batches(spark), sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, drop_written, own_columns, place_of, table, text_batches, text_column, unused, written
+from .common import aside, bound_batches, drop_written, own_columns, place_of, table, text_batches, text_column, unused, written
 
 LEAST_CHARS = 10
 #: Line rows that leave a Python worker at once.
@@ -186,7 +186,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(bound_batches(spark), sf_dir, "documents").select("doc_id", "text")
     kept = apply_bitmaps(docs, line_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_column(kept).cast("binary"), 256).alias("kept_sha256"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, text_column
+from .common import bound_batches, table, text_batches, text_column
 
 UNIT = 64
 RATE = 8000
@@ -124,4 +124,4 @@ def media_features(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents"))
+    return media_features(table(bound_batches(spark), sf_dir, "documents"))

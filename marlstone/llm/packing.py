@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own_columns, table, text_batches, text_column, unused, written
+from .common import bound_batches, own_columns, table, text_batches, text_column, unused, written
 from .tokenids import PieceCache
 
 CAPACITY = 2048
@@ -240,4 +240,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return pack_documents(table(bound_batches(spark), sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

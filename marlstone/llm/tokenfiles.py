@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import arrow_fs, fresh_dir
-from .common import table, text_batches, text_column
+from .common import bound_batches, table, text_batches, text_column
 from .tokenids import PieceCache, load_tokenizer
 
 SEQUENCE = 1024
@@ -196,5 +196,5 @@ def read_tokens(spark: SparkSession, shards: list[Shard]) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    shards = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), fresh_dir(spark, "tokens"))
+    shards = write_tokens(table(bound_batches(spark), sf_dir, "documents"), public_tokenizers.path(VOCABULARY), fresh_dir(spark, "tokens"))
     return read_tokens(spark, shards)

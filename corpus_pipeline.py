@@ -8,21 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import jaccard, language, linededup, mixing, packing
-from marlstone.llm.common import table, written
+from marlstone.llm.common import bound_batches, table, written
 
 #: The token budget here: three quarters of what the stages before left, no document twice.
 MIX = mixing.Mix(domains={"d0": 3}, languages={"en": 4, "de": 2, "fr": 2}, share=(3, 4), most_epochs=1)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return language.keep_identified(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return linededup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return jaccard.keep_one_of_each(docs)
 
 
@@ -33,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
 
 

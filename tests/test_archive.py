@@ -69,7 +69,7 @@ def test_frames_keep_their_order(spark, archive):
     ("kind", "good", "bad"),
     [(Int("u8"), 255, 256), (Int("u16"), 0, -1), (Int("i8"), -128, None), (Int("u64"), 2**64 - 1, -1), (NonZero("u32"), 1, 0), (CHAR, "é", "ab"), (Opt(item=CHAR), None, "ab"), (Seq(item=Int("u8")), [1, 255], [256]), (F64, 1.5, None)],
 )
-def test_types(archive, kind, good, bad):
+def test_types(archive, kind, good, bad, tmp_path):
     stage = archive.schema("t", {"v": kind})
     archive.write(stage.push({"v": good}))
     assert values(archive, "t", "v") == [good]
@@ -77,6 +77,10 @@ def test_types(archive, kind, good, bad):
     with pytest.raises(Exception):
         archive.write(stage.push({"v": bad}))
     assert archive.count("t") == 1
+    folder = tmp_path / "a" / "data" / "t"
+    assert len([x for x in folder.iterdir() if x.is_dir()]) == 1  # a write that fails leaves nothing
+    assert archive.write_frame("t", archive.query("t").df.where("false")) == 0
+    assert len([x for x in folder.iterdir() if not x.name.startswith(".")]) == 2 and values(archive, "t", "v") == [good]
 
 
 def test_records():

@@ -58,7 +58,9 @@ class ShardWriter:
         self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = [self.fs.open_output_stream(f"{folder}/{name}{x}") for x in (".arrow", ".docs.arrow")]
-        self.files = [pa.ipc.new_file(o, s) for o, s in zip(self.out, (self.schema, self.doc_schema))]
+        # sequences are mapped as they lie; the list of documents is read once, from first to last
+        packed = pa.ipc.IpcWriteOptions(compression="zstd")
+        self.files = [pa.ipc.new_file(o, s, options=x) for o, s, x in zip(self.out, (self.schema, self.doc_schema), (None, packed))]
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.ids = self.docs = 0
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,30 @@ def text_batches(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.
             begin = end
 
 
+#: glibc's; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Gives the system what this process has freed, which its allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of batches after which its Python worker, which Spark keeps beside the executor
+    for later tasks, gives back what it has freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 

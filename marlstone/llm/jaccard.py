@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, bound_batches, drop_written, own_columns, shingles, table, text_batches, text_blocks, text_column, unused, written
+from .common import NEAR, SHINGLE_WORDS, bound_batches, drop_written, frugal, own_columns, shingles, table, text_batches, text_blocks, text_column, unused, written
 from .tokenids import _U, _mix
 
 COORDINATES = 64
@@ -221,7 +221,7 @@ def _shingles_of(rows: DataFrame, nodes: DataFrame, ids: DataFrame, words: int)
     docs = written(ids.select("set_id").distinct().join(nodes.select("set_id", "doc_id"), "set_id").select("doc_id").distinct(), "again")
     if docs.count() <= BROADCAST_IDS:
         docs = F.broadcast(docs)
-    texts = rows.join(docs, rows["doc_id"].eqNullSafe(docs["doc_id"]), "left_semi").mapInArrow(_sets(True, words), "set_id binary, shingles binary")
+    texts = rows.join(docs, rows["doc_id"].eqNullSafe(docs["doc_id"]), "left_semi").mapInArrow(frugal(_sets(True, words)), "set_id binary, shingles binary")
     return texts.dropDuplicates(["set_id"])
 
 
@@ -286,7 +286,7 @@ def divided(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: fl
         # buckets of one pivot are one; a set has a pivot of each slot
         own = alike.join(sized(pivots.select("near", "hub")), "near").groupBy("set_id", F.pmod(F.xxhash64("hub"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.min("hub").alias("hub"))
         beside = own.join(dense, "set_id").join(sized(pivots.select("hub", "pivot").dropDuplicates(["hub"])), "hub")
-        found = written(beside.select("set_id", "hub", "slot", "shingles", "pivot").mapInArrow(_measured(threshold, samples), _MEASURED), "measured")
+        found = written(beside.select("set_id", "hub", "slot", "shingles", "pivot").mapInArrow(frugal(_measured(threshold, samples)), _MEASURED), "measured")
         close = found.where("close").groupBy("set_id").agg(F.min("hub").alias("hub"))
         hub = written(close if hub is None else hub.unionByName(close.join(hub, "set_id", "left_anti")), "hubs")
         staying = found.where("inside").withColumn("col", F.col("slot") + base).select("set_id", "col", F.xxhash64("col", "hub").alias("bucket"))
@@ -551,7 +551,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     of the class, null doc_ids last."""
     runs, estimate = runs_for(recall, threshold), estimate_for(recall, threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("row_hash"))
-    found = written(rows.mapInArrow(_sets(False, words), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
+    found = written(rows.mapInArrow(frugal(_sets(False, words)), "doc_id long, row_hash long, set_id binary, sig array<int>"), "sets")
     nodes = written(found.groupBy("set_id").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min(_place()).alias("first"), F.min("sig").alias("sig")), "nodes")
     members = leaf_buckets(nodes, runs, bucket_rows, depth_for(recall, threshold))
     members, hub = divided(rows, nodes, members, threshold, words, recall, bucket_rows, hub_rows)
@@ -560,11 +560,11 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, bucke
     lists = lists.withColumn("hub", F.lit(None).cast("long")) if hub is None else lists.join(hub, "set_id", "left")
     full = _dealt(members, hub, block_rows).join(lists, "set_id")
     key = ["bucket", "bi", "bj"]
-    needed = full.repartition(*key).sortWithinPartitions(*key, "set_id").mapInArrow(_needed(estimate), "bucket long, bi int, bj int, set_id binary")
+    needed = full.repartition(*key).sortWithinPartitions(*key, "set_id").mapInArrow(frugal(_needed(estimate)), "bucket long, bi int, bj int, set_id binary")
     needed = written(needed, "needed")
     texts = _shingles_of(rows, nodes, needed, words)
     compared = full.join(needed, [*key, "set_id"]).join(texts, "set_id").repartition(*key).sortWithinPartitions(*key, "set_id")
-    links = written(compared.mapInArrow(_verified(estimate, threshold), "set_id binary, links long, root binary"), "links")
+    links = written(compared.mapInArrow(frugal(_verified(estimate, threshold)), "set_id binary, links long, root binary"), "links")
     for df in (members, needed):
         drop_written(df)
     if hub is not None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import aside, bound_batches, own_columns, place_of, table, text_batches, text_blocks, text_column
+from .common import aside, bound_batches, frugal, own_columns, place_of, table, text_batches, text_blocks, text_column
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -195,7 +195,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Langua
 
     # at most rows_per_language rows of each language: a bounded side
     sample = known.join(F.broadcast(picked), ["doc_id", "row_hash", "lang"]).select("lang", "_r", "text").dropDuplicates(["lang", "_r"])
-    rows = sample.mapInArrow(count, "lang string, rank int, buckets array<int>, counts array<int>").toPandas()
+    rows = sample.mapInArrow(frugal(count), "lang string, rank int, buckets array<int>, counts array<int>").toPandas()
     rows = rows.sort_values(["lang", "rank"], kind="stable")
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, np.float64), r % 5 == 0) for a, r, b, c in zip(rows["lang"], rows["rank"], rows["buckets"], rows["counts"])])
 
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[which], pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(frugal(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, bound_batches, drop_written, own_columns, place_of, table, text_batches, text_column, unused, written
+from .common import aside, bound_batches, drop_written, frugal, own_columns, place_of, table, text_batches, text_column, unused, written
 
 LEAST_CHARS = 10
 #: Line rows that leave a Python worker at once.
@@ -100,10 +100,10 @@ _SCHEMA = "kind int, part int, h1 long, h2 long, doc_id long, row_hash long, pla
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, row_hash, dropped): the places of the lines that each document loses, for
     documents that lose any; row_hash is xxhash64 of the text."""
-    keys = _keyed(docs).mapInArrow(_line_rows(least_chars), "h1 long, h2 long, doc_id long, row_hash long, places array<int>")
+    keys = _keyed(docs).mapInArrow(frugal(_line_rows(least_chars)), "h1 long, h2 long, doc_id long, row_hash long, places array<int>")
     keys = written(keys, "keys")  # read twice: for the bounds of the ranges and for their rows
     rows = keys.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row_hash", "places")
-    found = written(rows.mapInArrow(_first_occurrences, _SCHEMA), "lines")
+    found = written(rows.mapInArrow(frugal(_first_occurrences), _SCHEMA), "lines")
     drop_written(keys)
     ends = sorted(tuple(r) for r in found.where("kind = 2").select("part", "h1", "h2", "last1", "last2").collect())  # a row for each partition
     continued = [b[0] for a, b in zip(ends, ends[1:]) if a[3:] == b[1:3]]
@@ -147,7 +147,7 @@ def line_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
             columns = [doc, row, n, pa.array([x[0] for x in bits], pa.int64()), pa.array([x[1] for x in bits], pa.binary())]
             yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.int64()), *columns[3:]], ["doc_id", "row_hash", "n_lines", "n_dropped", "keep"])
 
-    return both.select("doc_id", "row_hash", "n_lines", "dropped").mapInArrow(run, "doc_id long, row_hash long, n_lines long, n_dropped long, keep binary")
+    return both.select("doc_id", "row_hash", "n_lines", "dropped").mapInArrow(frugal(run), "doc_id long, row_hash long, n_lines long, n_dropped long, keep binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, n_lines, n_dropped], batch.schema.names[:-1])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return joined.mapInArrow(frugal(run), f"{schema}, n_lines long, n_dropped long")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, own_columns, table, text_batches, text_column, unused, written
+from .common import bound_batches, frugal, own_columns, table, text_batches, text_column, unused, written
 from .tokenids import PieceCache
 
 CAPACITY = 2048
@@ -184,7 +184,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), text_column(docs)).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_column(docs)).mapInArrow(frugal(cut), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = ranked.select(*own_columns(pieces), rank)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long", "offset long"])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(frugal(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -28,6 +28,8 @@ BLOCK_CHARS = 1 << 19
 MAX_PIECES = 1_000_000
 #: Bytes of pieces kept, likewise.
 MAX_KEPT = 1 << 25
+#: Pieces that the library has at once: what it makes of one takes far more than its ids.
+PIECES_AT_ONCE = 2048
 
 
 def _classes() -> np.ndarray:
@@ -171,7 +173,7 @@ class PieceCache:
         self.size = np.zeros(1 << self.bits, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.length = np.zeros(1 << self.bits, np.int32)  # bytes of the piece
-        self.kept_at = np.zeros(1 << self.bits, np.int64)  # of over eight bytes: where they are kept
+        self.kept_at = np.zeros(1 << self.bits, np.int32)  # of over eight bytes: where they are kept
         self.kept = np.zeros(1 << 16, np.uint8)
         self.used = self.used_kept = self.count = 0
 
@@ -238,9 +240,13 @@ class PieceCache:
         return np.flatnonzero(other)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("latin-1") for x in pieces], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        sizes, ids = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)]
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("latin-1") for x in pieces[at : at + PIECES_AT_ONCE]], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            sizes[at : at + len(found)] = n
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())))
+        return sizes, np.concatenate(ids)
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends of each text's ids) of texts of the known alphabet."""

@@ -57,6 +57,48 @@ def test_pieces_of_one_key_are_told_by_their_bytes(name, monkeypatch):
         assert [x.tolist() for x in cached.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_the_library_has_few_pieces_at_once(name):
+    path = public_tokenizers.path(name)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(40)]
+    plain, cached, most = load_tokenizer(path), PieceCache(path), []
+
+    class Counting:
+        def encode_batch_fast(self, some, **more):
+            most.append(len(some))
+            return plain.encode_batch_fast(some, **more)
+
+    cached.tokenizer = Counting()
+    assert [x.tolist() for x in cached.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cached.count == sum(most) > 2 * max(most) and max(most) <= 2048
+
+
+def test_workers_give_back_what_they_freed():
+    """Freed blocks below others that live on stay with the allocator otherwise."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        blocks = [bytes(100_000) for _ in range(2000)]
+        pins.append(bytes(100_000))
+        for batch in batches:
+            yield batch + len(blocks)
+
+    if not common._TRIM:
+        pytest.skip("no C library that trims")
+    pins, took = [], []
+    for whole in (run, common.frugal(run)):
+        common.give_back()
+        before = resident()
+        assert list(whole(iter([1, 2]))) == [2001, 2002]
+        took.append(resident() - before)
+    assert took[0] > 100 << 20 > 20 << 20 > took[1]
+
+
 def test_short_spans_have_keys_of_their_own():
     words = [bytes([a, b][: 1 + (b > 0)]) for a in range(1, 256) for b in range(256)] + [b"abcdefg", b"abcdefgh", b"abcdefghi", b"bcdefghia"]
     raw = b"\0".join(words)

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import arrow_fs, fresh_dir
-from .common import bound_batches, table, text_batches, text_column
+from .common import bound_batches, frugal, table, text_batches, text_column
 from .tokenids import PieceCache, load_tokenizer
 
 SEQUENCE = 1024
 BATCH_ROWS = 64
+#: Ids up to which a task reads shards that follow each other; a larger shard has a task of its own.
+READ_IDS = 1 << 25
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
@@ -157,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    found = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, path string, docs long, ids long").collect())  # a row for each shard
+    found = sorted(tuple(r) for r in rows.mapInArrow(frugal(write), "part long, path string, docs long, ids long").collect())  # a row for each shard
     shards, start = [], 0
     for _, path, n_docs, ids in found:
         shards.append(Shard(path, n_docs, ids, start))
@@ -176,6 +178,19 @@ def _remove_others(out_dir: str, shards: list[Shard]) -> None:
             fs.delete_file(f.path)
 
 
+def _runs(shards: list[Shard]) -> list[list[Shard]]:
+    """Shards by the task that reads them: a task for each of many small ones costs more than to read it."""
+    out: list[list[Shard]] = []
+    size = 0
+    for x in shards:
+        if not out or size + x.ids > READ_IDS:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += x.ids
+    return out
+
+
 def read_tokens(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts the
     ids of all documents before it, ids_crc32 the ids as little-endian unsigned 32-bit."""
@@ -183,16 +198,18 @@ def read_tokens(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], schema)
 
+    runs = _runs(shards)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                reader, base = ShardReader(shards[i].path), shards[i].start
+            for shard in (x for i in batch.column(0).to_pylist() for x in runs[i]):
+                reader, base = ShardReader(shard.path), shard.start
                 for k in range(reader.docs.num_record_batches):
                     docs, start, n = reader.docs.get_batch(k).columns
                     crc = [zlib.crc32(reader.ids(s, m).astype("<u4").tobytes()) for s, m in zip(start.to_pylist(), n.to_pylist())]
                     yield pa.RecordBatch.from_arrays([docs, pa.array(start.to_numpy() + base), n, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
+    return spark.range(0, len(runs), 1, len(runs)).mapInArrow(frugal(read), schema)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

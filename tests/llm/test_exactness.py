@@ -109,6 +109,23 @@ def test_short_spans_have_keys_of_their_own():
     assert moved[0] == keys[-2]
 
 
+def test_small_shards_share_a_task(spark, tmp_path, monkeypatch):
+    shards, want = [], []
+    for i in range(7):
+        writer = tokenfiles.ShardWriter(f"file://{tmp_path}", f"s{i}", np.dtype(np.uint16), 4)
+        some = [np.arange(n, dtype=np.uint32) + i for n in (3, i + 1, 0)]
+        writer.add([3 * i, 3 * i + 1, None], some)
+        writer.close()
+        shards.append(tokenfiles.Shard(f"file://{tmp_path}/s{i}.arrow", 3, writer.ids, sum(x.ids for x in shards)))
+        starts = shards[-1].start + np.cumsum([0, 3, i + 1])
+        want += [(d, int(s), len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in zip((3 * i, 3 * i + 1, None), starts, some)]
+    for most, tasks in ((1 << 25, 1), (12, 6), (1, 7)):  # shards of 4 to 10 ids
+        monkeypatch.setattr(tokenfiles, "READ_IDS", most)
+        found = tokenfiles.read_tokens(spark, shards)
+        assert found.rdd.getNumPartitions() == tasks
+        assert list(map(tuple, found.collect())) == want
+
+
 def test_ids_beyond_the_type_are_refused(tmp_path):
     assert tokenfiles.id_type(65_535) == np.uint16 and tokenfiles.id_type(65_536) == np.uint32
     with pytest.raises(ValueError):

@@ -449,7 +449,7 @@ def records_roundtrip(spark, sf_dir):
     return spark.createDataFrame(found, "n_nationkey int, n_name string, n_regionkey int, near boolean, codes array<bigint>, note string")
 
 
-_TYPES = {"key": NonZero("i64"), "wide": Int("i128"), "unsigned": Int("u64"), "single": F32, "letter": CHAR, "flag": BOOL, "sizes": Seq(item=Int("u8")), "maybe": Opt(item=Opt(item=Seq(item=STRING)))}
+_TYPES = {"key": NonZero("i64"), "wide": Int("i128"), "unsigned": Opt(item=Int("u64")), "larger": Opt(item=Int("u128")), "single": F32, "letter": CHAR, "flag": BOOL, "sizes": Seq(item=Int("u8")), "maybe": Opt(item=Opt(item=Seq(item=STRING)))}
 
 
 @query("""
@@ -457,13 +457,16 @@ SELECT p_partkey + 1 AS key, CAST(CAST(p_partkey - 1000 AS HUGEINT) * 1000000000
        CAST(CAST(p_size * 0.5 AS FLOAT) AS DOUBLE) AS single, substr(p_name, 1, 1) AS letter, p_size > 25 AS flag, CAST(p_size + p_size + 1 AS BIGINT) AS sizes, CASE WHEN p_size % 3 <> 0 THEN p_brand || p_type END AS maybe FROM part
 """)
 def archive_types(spark, sf_dir):
+    """Values of all types; of ``unsigned``, what 64 bits do not hold is ``larger`` in the archive."""
     archive = Archive.new(spark, fresh_dir(spark, "types"))
     archive.schema("t", _TYPES)
-    size = F.col("p_size")
+    size, unsigned = F.col("p_size"), F.expr("p_partkey + cast('18446744073709000000' as decimal(20,0))")
+    over = unsigned > F.lit(str(2**64 - 1)).cast("decimal(20,0)")
     made = {
         "key": F.col("p_partkey") + 1,
         "wide": F.expr("cast(cast(p_partkey - 1000 as decimal(20,0)) * cast('10000000000000000000' as decimal(20,0)) as decimal(26,0)) * cast(1000000000000 as decimal(13,0))").cast("decimal(38,0)"),
-        "unsigned": F.expr("cast(p_partkey + cast('18446744073709000000' as decimal(20,0)) as decimal(20,0))"),
+        "unsigned": F.when(~over, unsigned.cast("decimal(20,0)")),
+        "larger": F.when(over, unsigned.cast("decimal(38,0)")),
         "single": (size * 0.5).cast("float"),
         "letter": F.substring("p_name", 1, 1),
         "flag": size > 25,
@@ -472,8 +475,8 @@ def archive_types(spark, sf_dir):
     }
     archive.write_frame("t", spark.read.parquet(f"{sf_dir}/part.parquet").select(*[c.alias(k) for k, c in made.items()]))
     found = archive.query("t").df
-    text = {"wide": F.col("wide").cast("string"), "unsigned": F.col("unsigned").cast("string"), "single": F.col("single").cast("double"), "maybe": F.array_join("maybe", "")}
-    return found.withColumns(text | {"sizes": F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)})
+    text = {"wide": F.col("wide").cast("string"), "unsigned": F.coalesce("unsigned", "larger").cast("string"), "single": F.col("single").cast("double"), "maybe": F.array_join("maybe", "")}
+    return found.withColumns(text | {"sizes": F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)}).drop("larger")
 
 
 @query("""
